@@ -1,0 +1,16 @@
+"""Join help for keys that hold a large share of the rows."""
+
+from pyspark.sql import functions as F
+
+SALTS = 16
+
+
+def salted_join(rows, per_key, keys, salt_on, how="inner", salts=SALTS):
+    """Join rows to at most one row per key, spreading each key over `salts` tasks.
+
+    Only the one-row-per-key side is repeated; `salt_on` names columns of `rows`
+    that differ within a key.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
+    spread = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*keys, "_salt"], how).drop("_salt")
