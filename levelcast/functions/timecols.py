@@ -1,5 +1,7 @@
 """Time arithmetic on TIMESTAMP columns (microseconds, UTC session)."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 MICROS = 1_000_000
@@ -7,6 +9,11 @@ MICROS = 1_000_000
 MAX_MICROS = 253_402_300_799_999_999
 
 
+def utc(value):
+    """A collected TIMESTAMP (naive, in this process's local zone) as an aware UTC instant."""
+    return None if value is None else value.astimezone(datetime.timezone.utc)
+
+
 def as_col(c):
     return F.col(c) if isinstance(c, str) else c
 

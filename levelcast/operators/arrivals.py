@@ -28,12 +28,20 @@ def new_arrivals(arrivals, existing):
 
 
 def absorbed(arrivals, accepted):
-    """Every arrival that did not become a reading.
+    """Every arrival that did not become a reading: its key and arrival columns.
 
-    Joined on the identity of the arrival, not on the reading key, so that the
-    copies of one key stay spread over all tasks.
+    Grouped and joined on the identity of the arrival, not on the reading key, so
+    that the copies of one key stay spread over all tasks. Arrivals that share
+    even their identity are counted, and an accepted one is taken off once.
     """
-    return arrivals.join(accepted.select(*KEY, *ORDER), [*KEY, *ORDER], "left_anti")
+    identity = [*KEY, *ORDER]
+    counted = arrivals.groupBy(*identity).agg(F.count(F.lit(1)).alias("_n"))
+    taken = accepted.select(*identity, F.lit(1).alias("_taken"))
+    left = F.col("_n") - F.coalesce(F.col("_taken"), F.lit(0))
+    rest = counted.join(taken, identity, "left").withColumn("_left", left)
+    return rest.filter(F.col("_left") > 0).select(
+        *identity, F.explode(F.sequence(F.lit(1), F.col("_left"))).alias("_copy")
+    ).drop("_copy")
 
 
 def dedupe_events(arrivals, accepted):

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from levelcast import schemas
+from levelcast.functions.timecols import utc
 from levelcast.metrics import METRICS, require_columns
 from levelcast.operators import alerts, forecast
 from levelcast.operators.merge import changed_status
@@ -23,9 +24,8 @@ def forecast_pass(tables, pass_id, metrics=METRICS, since=None, computed_at=None
     does no work. `computed_at` stamps the rows (wall clock, for ops only).
     """
     spark = tables.spark
-    telemetry = tables.telemetry()
-    require_columns(metrics, telemetry.columns)
-    data_now = _utc(fleet_watermark(telemetry).first()[0])
+    require_columns(metrics, schemas.TELEMETRY.fieldNames())
+    data_now = tables.data_now()
     result = dict(
         data_now=data_now, skipped=False, devices=0, written=0, fired=0, cleared=0, signals=0
     )
@@ -101,16 +101,9 @@ def deliver(tables, batch, outcomes, delivered_at):
     )
 
 
-def _utc(value):
-    """A collected TIMESTAMP as an aware UTC instant."""
-    if value is None:
-        return None
-    return value.astimezone(datetime.timezone.utc)
-
-
 def data_now(readings):
     """The fleet watermark as an aware UTC datetime, None when there are no readings."""
-    return _utc(fleet_watermark(readings).first()[0])
+    return utc(fleet_watermark(readings).first()[0])
 
 
 def read_window(readings, now, metrics=METRICS):

@@ -20,7 +20,7 @@ def ingest_batch(tables, messages, batch):
         valid = readings_of(classified)
         seen = tables.devices(without=batch)
         tables_before, own = _stored(tables, valid, batch)
-        accepted = ops.new_arrivals(valid, tables_before)
+        accepted = ops.new_arrivals(valid, tables_before).persist(StorageLevel.MEMORY_AND_DISK)
         judged = ops.arrival_out_of_order(valid, seen)
         counters = ops.ingest_counters(classified, accepted, judged)
 
@@ -33,6 +33,7 @@ def ingest_batch(tables, messages, batch):
         tables.append_telemetry(
             missing.drop("arrival_seq").withColumn("batch_id", F.lit(batch))
         )
+        accepted.unpersist()
     finally:
         classified.unpersist()
     return tables.log("ingest_stats").filter(F.col("batch") == batch).drop("batch")

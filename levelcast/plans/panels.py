@@ -11,7 +11,7 @@ from levelcast.functions.numbers import (
     threshold_band,
     whole_seconds,
 )
-from levelcast.functions.timecols import horizon_seconds, seconds_between, time_bucket
+from levelcast.functions.timecols import horizon_seconds, seconds_between
 from levelcast.functions.wire import escape_bytes
 from levelcast.metrics import KINDS
 from levelcast.operators import arrivals, forecast, rollups, series
@@ -25,9 +25,9 @@ def _between(df, column, start, end):
     return df.filter(F.col(column).between(F.lit(start), F.lit(end)))
 
 
-def _one_row(df, one):
-    """Attach a one-row aggregate to every row."""
-    return df.join(F.broadcast(one))
+def _scalar(df, aggregate):
+    """A whole-table aggregate as a scalar subquery."""
+    return df.agg(aggregate).scalar()
 
 
 def water_raw(telemetry, start, end):
@@ -47,13 +47,9 @@ def battery_raw(telemetry, start, end):
 
 
 def checkin_staleness(devices, telemetry):
-    newest = telemetry.agg(F.max("measured_at").alias("_newest"))
-    behind = whole_seconds(seconds_between("_newest", "last_seen"))
-    return (
-        _one_row(devices, newest)
-        .select("device_id", behind.alias("behind_seconds"))
-        .orderBy("device_id")
-    )
+    newest = _scalar(telemetry, F.max("measured_at"))
+    behind = whole_seconds(seconds_between(newest, "last_seen"))
+    return devices.select("device_id", behind.alias("behind_seconds")).orderBy("device_id")
 
 
 def _hourly_part(hourly, start, end, columns):
@@ -83,11 +79,9 @@ def dead_letter_rate(dead_letter, telemetry, now):
     recent = dead_letter.filter(F.col("received_at") > opened).agg(
         F.count(F.lit(1)).alias("_dead")
     )
-    first = telemetry.agg(F.min("received_at").alias("_first"))
-    covered = F.greatest(
-        seconds_between(now, F.greatest(F.col("_first"), opened)), F.lit(60.0)
-    )
-    return _one_row(recent, first).select(
+    first = _scalar(telemetry, F.min("received_at"))
+    covered = F.greatest(seconds_between(now, F.greatest(first, opened)), F.lit(60.0))
+    return recent.select(
         round_half_up(F.col("_dead") * 60.0 / covered, 2).alias("per_minute")
     )
 
@@ -102,14 +96,14 @@ def out_of_order_arrivals(telemetry):
     return arrivals.stored_out_of_order(telemetry).agg(F.count(F.lit(1)).alias("out_of_order"))
 
 
-def missed_checkins(hourly, telemetry, start, end, expected=EXPECTED_PER_HOUR):
-    """Shortfall per device and full hour; the fleet's first and last hour are left out."""
-    ends = telemetry.agg(
-        time_bucket("hour", F.min("measured_at")).alias("_first"),
-        time_bucket("hour", F.max("measured_at")).alias("_last"),
-    )
-    full = _one_row(_between(hourly, "bucket", start, end), ends).filter(
-        (F.col("bucket") > F.col("_first")) & (F.col("bucket") < F.col("_last"))
+def missed_checkins(hourly, start, end, expected=EXPECTED_PER_HOUR):
+    """Shortfall per device and full hour; the fleet's first and last hour are left out.
+
+    Those hours are the ends of the rollup itself, so raw readings are not read.
+    """
+    full = _between(hourly, "bucket", start, end).filter(
+        (F.col("bucket") > _scalar(hourly, F.min("bucket")))
+        & (F.col("bucket") < _scalar(hourly, F.max("bucket")))
     )
     missed = F.greatest(F.lit(expected) - F.col("sample_count"), F.lit(0))
     return full.select(
@@ -233,11 +227,13 @@ def daily_water_consumption(telemetry):
     ).orderBy("day", "device_id")
 
 
-def checkin_health(hourly, telemetry, expected=EXPECTED_PER_HOUR, n=20):
-    """The newest hours that delivered fewer readings than expected."""
-    newest = telemetry.agg(time_bucket("hour", F.max("measured_at")).alias("_last"))
-    short = _one_row(hourly, newest).filter(
-        (F.col("sample_count") < expected) & (F.col("bucket") < F.col("_last"))
+def checkin_health(hourly, expected=EXPECTED_PER_HOUR, n=20):
+    """The newest hours that delivered fewer readings than expected.
+
+    The fleet's newest hour is still filling and is left out.
+    """
+    short = hourly.filter(
+        (F.col("sample_count") < expected) & (F.col("bucket") < _scalar(hourly, F.max("bucket")))
     )
     return (
         short.select("device_id", "bucket", "sample_count")

@@ -5,9 +5,8 @@ import datetime
 from pyspark.sql import functions as F, types as T
 
 from levelcast import schemas
-from levelcast.functions.timecols import time_bucket
+from levelcast.functions.timecols import time_bucket, utc
 from levelcast.operators.rollups import KEY_FORMAT, POLICIES, WIDTH_SECONDS, rollup, rollup_realtime
-from levelcast.plans.forecast_pass import _utc
 
 
 class RollupTable:
@@ -64,7 +63,7 @@ class RollupTable:
         if edge is not None and touched is not None:
             late = touched.select(bucket.alias("bucket")).filter(F.col("bucket") < F.lit(edge))
             # Bounded by the calendar: one row per bucket.
-            buckets = [_utc(r[0]) for r in late.distinct().collect()]
+            buckets = [utc(r[0]) for r in late.distinct().collect()]
         self._recompute(start, end, buckets or [])
 
     def _recompute(self, start, end, buckets):

@@ -151,10 +151,8 @@ def capture_bounds(messages, order, at, count=None, duration_seconds=None):
         raise ValueError("duration_seconds must be positive")
     kept = messages
     if duration_seconds is not None:
-        first = messages.agg(F.min(at).alias("_first"))
-        kept = kept.join(F.broadcast(first)).filter(  # one row
-            seconds_between(at, "_first") <= F.lit(float(duration_seconds))
-        ).drop("_first")
+        first = messages.agg(F.min(at)).scalar()
+        kept = kept.filter(seconds_between(at, first) <= F.lit(float(duration_seconds)))
     return kept.orderBy(*order).limit(count) if count is not None else kept
 
 

@@ -26,7 +26,7 @@ def _levels(events):
     millis = f"4200 - ({elapsed} * (8 + user_id % 5) div {HOUR_US * 10} + user_id * 11) % 900"
     return events.select(
         "event_id",
-        F.concat(F.lit("dev-"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("device_id"),
+        F.concat(F.lit("dev-"), F.col("user_id").cast("string")).alias("device_id"),
         "measured_at",
         F.expr(tenths).alias("tenths"),
         F.expr(millis).alias("millis"),

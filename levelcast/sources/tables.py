@@ -7,9 +7,12 @@ its current rows; `fold` rewrites a long log into one batch of a new generation.
 One writer at a time, as with any plain Parquet table.
 """
 
+import datetime
+
 from pyspark.sql import functions as F, types as T
 
 from levelcast import schemas
+from levelcast.functions.timecols import utc
 from levelcast.operators.arrivals import merge_registry
 from levelcast.operators.merge import latest_per_key, with_outcomes
 
@@ -68,6 +71,22 @@ class Tables:
         rows = self.spark.read.schema(schema).parquet(self.path("telemetry"))
         return prune(rows, since, days)
 
+    def newest_day(self):
+        """The newest day that has readings, from directory names alone."""
+        days = [c for c in self.children(self.path("telemetry")) if c.startswith("measured_date=")]
+        return max(days).split("=")[1] if days else None
+
+    def data_now(self):
+        """The fleet watermark (max measured_at) as an aware UTC datetime, or None.
+
+        Only the newest day is scanned.
+        """
+        day = self.newest_day()
+        if day is None:
+            return None
+        newest = self.telemetry(days=[datetime.date.fromisoformat(day)])
+        return utc(newest.agg(F.max("measured_at")).first()[0])
+
     def append_telemetry(self, readings):
         """Append; files are sized per day by a rebalance, which also splits big days."""
         (

@@ -31,9 +31,7 @@ def start_ingest(messages, tables, checkpoint, name="ingest", trigger=None, unit
 def refresh_touched(tables, unit, batch, now=None):
     """Refresh one rollup after a batch: its policy window plus the buckets the
     batch's own readings fall into."""
-    from levelcast.plans.forecast_pass import data_now
-
     arrived = tables.telemetry().filter(F.col("batch_id") == batch)
-    clock = now() if now is not None else data_now(tables.telemetry())
+    clock = now() if now is not None else tables.data_now()
     if clock is not None:
         RollupTable(tables, unit).refresh(clock, touched=arrived)
