@@ -62,7 +62,9 @@ def alert_decisions(forecasts, alert_events, metrics, **rule):
 
 def alert_message(alerts, metrics):
     """Add the notification `title` and `message` of alert rows."""
-    days = F.format_number(F.col("horizon_seconds") / F.lit(86400.0), "0.0")
+    days = F.call_function(
+        "format_number", F.col("horizon_seconds") / F.lit(86400.0), F.lit("0.0")
+    )
     crosses = F.coalesce(
         F.concat(F.date_format("crosses_at", "yyyy-MM-dd HH:mm"), F.lit(" UTC")), F.lit("now")
     )

@@ -1,6 +1,6 @@
 """Message classification: topic shape, payload checks, identity cross-check.
 
-One narrow projection. The payload is parsed once, into a struct that holds only
+A narrow chain of projections, no shuffle. The payload is parsed once, into a struct that holds only
 the five known fields as VARIANT, so a missing field (SQL NULL), a JSON null
 (VOID) and a value of the wrong JSON type stay apart. Every message ends as a
 reading or as a dead letter with a reason; nothing raises.
@@ -9,6 +9,7 @@ reading or as a dead letter with a reason; nothing raises.
 from pyspark.sql import functions as F
 
 from levelcast.functions import wire
+from levelcast.operators.stages import compute_once
 
 _FIELDS = ("schema_version", "device_id", "measured_at", "water_level", "battery_voltage")
 _MAX_ERRORS = 3
@@ -50,32 +51,45 @@ _ZONELESS = rf"^{_DATE}([Tt _]{_CLOCK})?$"
 _SECONDS_LIMIT = 2e10
 
 
-def _json_type(v):
-    return F.schema_of_variant(v)
+def _leaf(v):
+    """JSON type, text and numeric value of a VARIANT field."""
+    return F.struct(
+        v.isNotNull().alias("present"),
+        F.schema_of_variant(v).alias("type"),
+        F.try_variant_get(v, "$", "string").alias("text"),
+        F.try_variant_get(v, "$", "double").alias("number"),
+        F.try_variant_get(v, "$", "boolean").alias("truth"),
+    )
 
 
-def _text(v):
-    return F.try_variant_get(v, "$", "string")
+def _is_number(leaf):
+    t = leaf["type"]
+    return t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
 
 
-def _is_number_type(t):
-    return t.isin("BIGINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
+def _is_text(leaf):
+    return leaf["type"] == "STRING"
 
 
-def _number(v):
-    """(value, error) of a lenient number: numbers, numeric text and booleans."""
-    t, text = _json_type(v), _text(v)
-    non_finite = text.rlike(_NON_FINITE_TEXT)
-    value = (
-        F.when(_is_number_type(t), F.try_variant_get(v, "$", "double"))
-        .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double"))
-        .when((t == "STRING") & text.rlike(_NUMERIC_TEXT), F.trim(text).try_cast("double"))
-        .when((t == "STRING") & non_finite, F.lit(float("nan")))
+def _number(leaf):
+    """A lenient number: numbers, numeric text and booleans."""
+    text = leaf["text"]
+    return (
+        F.when(_is_number(leaf), leaf["number"])
+        .when(leaf["type"] == "BOOLEAN", leaf["truth"].cast("int").cast("double"))
+        .when(_is_text(leaf) & text.rlike(_NUMERIC_TEXT), F.trim(text).try_cast("double"))
+        .when(_is_text(leaf) & text.rlike(_NON_FINITE_TEXT), F.lit(float("nan")))
     )
-    error = F.when(v.isNull(), MISSING).when(
-        value.isNull(), F.when(t == "STRING", NOT_NUMERIC_TEXT).otherwise(NOT_NUMBER)
+
+
+def _number_error(leaf, value, bounds):
+    low, high = bounds
+    return (
+        F.when(~leaf["present"], MISSING)
+        .when(value.isNull(), F.when(_is_text(leaf), NOT_NUMERIC_TEXT).otherwise(NOT_NUMBER))
+        .when(value > F.lit(high), AT_MOST.format(f"{high:g}"))
+        .when(value < F.lit(low), AT_LEAST.format(f"{low:g}"))
     )
-    return value, error
 
 
 def utc_timestamp(text):
@@ -104,26 +118,34 @@ def _epoch(number):
     return F.when(usable, F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
 
 
-def _time(v):
-    """(value, error) of an instant: zoned ISO text or Unix seconds."""
-    t, text = _json_type(v), _text(v)
-    number = F.when(_is_number_type(t), F.try_variant_get(v, "$", "double")).when(
-        (t == "STRING") & text.rlike(_NUMERIC_TEXT), F.trim(text).try_cast("double")
+def _time(leaf):
+    """An instant: zoned ISO text or Unix seconds."""
+    text = leaf["text"]
+    number = F.when(_is_number(leaf), leaf["number"]).when(
+        _is_text(leaf) & text.rlike(_NUMERIC_TEXT), F.trim(text).try_cast("double")
+    )
+    return F.when(number.isNotNull(), _epoch(number)).when(_is_text(leaf), utc_timestamp(text))
+
+
+def _time_error(leaf, value):
+    zoneless = _is_text(leaf) & leaf["text"].rlike(_ZONELESS)
+    return F.when(~leaf["present"], MISSING).when(
+        value.isNull(), F.when(zoneless, NO_ZONE).otherwise(NOT_TIME)
     )
-    value = F.when(number.isNotNull(), _epoch(number)).when(t == "STRING", utc_timestamp(text))
-    error = F.when(v.isNull(), MISSING).when(
-        value.isNull(),
-        F.when((t == "STRING") & text.rlike(_ZONELESS), NO_ZONE).otherwise(NOT_TIME),
+
+
+def _version_error(leaf):
+    accepted = F.when(_is_number(leaf), leaf["number"] == 1.0).when(
+        leaf["type"] == "BOOLEAN", leaf["truth"]
     )
-    return value, error
+    return F.when(leaf["present"] & ~F.coalesce(accepted, F.lit(False)), BAD_VERSION)
 
 
-def _bounded(value, error, bounds):
-    low, high = bounds
+def _device_error(leaf):
     return (
-        F.when(error.isNotNull(), error)
-        .when(value > F.lit(high), AT_MOST.format(f"{high:g}"))
-        .when(value < F.lit(low), AT_LEAST.format(f"{low:g}"))
+        F.when(~leaf["present"], MISSING)
+        .when(~_is_text(leaf), NOT_TEXT)
+        .when(~wire.is_device_id(leaf["text"]), BAD_ID)
     )
 
 
@@ -145,56 +167,49 @@ def parse_payload(messages):
 
     `payload_error` is the condensed text without its prefix.
     """
+    inputs = messages.columns
     text = F.col("payload").cast("string")
-    readable = F.is_valid_utf8(text)
     seal = F.xxhash64("payload").cast("string")
     sealed = F.concat(F.lit('{"p":'), text, F.lit(',"seal":"'), seal, F.lit('"}'))
-    parsed = messages.withColumn(
-        "_doc", F.from_json(F.when(readable, sealed), _ENVELOPE, _JSON_OPTIONS)
-    )
+    doc = F.from_json(F.when(F.is_valid_utf8(text), sealed), _ENVELOPE, _JSON_OPTIONS)
+    parsed = compute_once(messages, _doc=doc)
 
     p = F.col("_doc.p")
-    version, device, at, water, battery = (p[f] for f in _FIELDS)
     whole = p.isNotNull() & F.col("_doc.broken").isNull() & (F.col("_doc.seal") == seal)
     other_json = F.when(
-        readable & ~F.ltrim(text).startswith("{"), F.try_parse_json(text).isNotNull()
+        F.is_valid_utf8(text) & ~F.ltrim(text).startswith("{"), F.try_parse_json(text).isNotNull()
     )
     document_error = F.when(
         ~F.coalesce(whole, F.lit(False)), F.when(other_json, NOT_OBJECT).otherwise(BAD_JSON)
     )
-
-    version_type = _json_type(version)
-    version_ok = F.when(
-        _is_number_type(version_type), F.try_variant_get(version, "$", "double") == 1.0
-    ).when(version_type == "BOOLEAN", F.try_variant_get(version, "$", "boolean"))
-    version_error = F.when(version.isNotNull() & ~F.coalesce(version_ok, F.lit(False)), BAD_VERSION)
-
-    device_error = (
-        F.when(device.isNull(), MISSING)
-        .when(_json_type(device) != "STRING", NOT_TEXT)
-        .when(~wire.is_device_id(_text(device)), BAD_ID)
+    leaves = compute_once(
+        parsed, inputs, _document=document_error, **{f"_{f}": _leaf(p[f]) for f in _FIELDS}
+    )
+    version, device, at, water, battery = (F.col(f"_{f}") for f in _FIELDS)
+    values = compute_once(
+        leaves,
+        payload_device_id=F.when(_is_text(device), device["text"]),
+        measured_at=_time(at),
+        water_level=_number(water),
+        battery_voltage=_number(battery),
     )
-    at_value, at_error = _time(at)
-    water_value, water_error = _number(water)
-    battery_value, battery_error = _number(battery)
-
     checks = F.array(
-        _located("schema_version", version_error),
-        _located("device_id", device_error),
-        _located("measured_at", at_error),
-        _located("water_level", _bounded(water_value, water_error, wire.WATER_RANGE)),
-        _located("battery_voltage", _bounded(battery_value, battery_error, wire.BATTERY_RANGE)),
+        _located("schema_version", _version_error(version)),
+        _located("device_id", _device_error(device)),
+        _located("measured_at", _time_error(at, F.col("measured_at"))),
+        _located("water_level", _number_error(water, F.col("water_level"), wire.WATER_RANGE)),
+        _located(
+            "battery_voltage",
+            _number_error(battery, F.col("battery_voltage"), wire.BATTERY_RANGE),
+        ),
     )
-    error = F.when(document_error.isNotNull(), _located("payload", document_error)).otherwise(
+    error = F.when(F.col("_document").isNotNull(), _located("payload", F.col("_document"))).otherwise(
         F.nullif(condense(checks), F.lit(""))
     )
-    return parsed.select(
-        *messages.columns,
-        F.when(F.is_valid_utf8(text), _text(device)).alias("payload_device_id"),
-        at_value.alias("measured_at"),
-        water_value.alias("water_level"),
-        battery_value.alias("battery_voltage"),
-        error.alias("payload_error"),
+    return compute_once(
+        values,
+        [*inputs, "payload_device_id", "measured_at", "water_level", "battery_voltage"],
+        payload_error=error,
     )
 
 
@@ -213,7 +228,7 @@ def classify(messages):
     Checks run in a fixed order: topic shape, payload, then the cross-check of
     the two identifiers. Field values are NULL on dead letters.
     """
-    checked = parse_payload(messages).withColumn("_topic_id", wire.topic_device_id("topic"))
+    checked = compute_once(parse_payload(messages), _topic_id=wire.topic_device_id("topic"))
     payload_id = F.col("payload_device_id")
     reason = (
         F.when(F.col("_topic_id").isNull(), BAD_TOPIC)
@@ -223,7 +238,7 @@ def classify(messages):
         )
         .when(payload_id != F.col("_topic_id"), mismatch_reason("_topic_id", "payload_device_id"))
     )
-    judged = checked.withColumn("reason", reason)
+    judged = compute_once(checked, reason=reason)
     valid = F.col("reason").isNull()
     return judged.select(
         *messages.columns,

@@ -4,6 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from levelcast.functions.timecols import MICROS, iso_offset, seconds_between
 from levelcast.operators import classify, series
+from levelcast.operators.stages import compute_once
 
 _FIELDS = ("topic", "captured_at", "payload", "payload_b64")
 _RECORD = (
@@ -53,7 +54,7 @@ def decode_records(lines):
     seal = F.xxhash64("value").cast("string")
     sealed = F.concat(F.lit('{"r":'), value, F.lit(',"seal":"'), seal, F.lit('"}'))
     readable = F.when(F.is_valid_utf8(value), sealed)
-    parsed = lines.withColumn("_doc", F.from_json(readable, _RECORD, _OPTIONS))
+    parsed = compute_once(lines, _doc=F.from_json(readable, _RECORD, _OPTIONS))
     r = F.col("_doc.r")
     topic, at, text, encoded = (r[f] for f in _FIELDS)
     kind = F.schema_of_variant
@@ -81,7 +82,7 @@ def decode_records(lines):
     payload = F.when(has(text), F.encode(plain(text), "UTF-8")).otherwise(
         F.try_to_binary(plain(encoded), F.lit("base64"))
     )
-    judged = parsed.withColumn("error", error)
+    judged = compute_once(parsed, error=error)
     good = F.col("error").isNull()
     return judged.select(
         *lines.columns,
