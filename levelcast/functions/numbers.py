@@ -6,8 +6,10 @@ from levelcast.functions.timecols import as_col
 
 
 def round_half_up(c, digits):
-    """Decimal rounding of the shortest decimal text of a double, half away from zero."""
-    return F.round(as_col(c).cast("string").try_cast("decimal(38,15)"), digits).cast("double")
+    """Decimal rounding of the 15 significant digits of a double, half away from zero."""
+    text = F.format_string("%.14e", as_col(c))
+    exact = F.when(as_col(c).isNotNull(), text).try_cast("decimal(38,15)")
+    return F.round(exact, digits).cast("double")
 
 
 def whole_seconds(c):

@@ -789,17 +789,14 @@ def series_valid(spark, d):
 
 @query
 def cadence(spark, d):
-    return _rounded(series.cadence(_lagged(spark, d), ["device_id", "kind"]), "cadence_seconds")
+    return series.cadence(_lagged(spark, d), ["device_id", "kind"])
 
 
 @query
 def stale_rule(spark, d):
     f = _forecasts(spark, d)
     stale = F.col("status") == forecast.STALE
-    return _rounded(
-        f.select("device_id", "kind", "as_of", "cadence_seconds", stale.alias("stale")),
-        "cadence_seconds",
-    )
+    return f.select("device_id", "kind", "as_of", "cadence_seconds", stale.alias("stale"))
 
 
 @query

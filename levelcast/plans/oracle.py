@@ -361,7 +361,7 @@ def _r(column, digits=6):
     return f"round({column}, {digits}) AS {column}"
 
 
-_HALF_UP = "round({0}::VARCHAR::DECIMAL(38,15), {1})::DOUBLE"
+_HALF_UP = "round(printf('%.14e', {0}::DOUBLE)::DECIMAL(38,15), {1})::DOUBLE"
 
 
 def _half_up(expression, digits):
@@ -580,9 +580,10 @@ def oracle_sql():
         "last_dead_letters": wired
         + """SELECT topic, reason, received_at FROM dead
           ORDER BY received_at DESC, topic, payload LIMIT 3""",
-        "recent_hourly": hourly
-        + f"""SELECT device_id, bucket, {_half_up('water_avg', 1)} AS water_avg, sample_count
-          FROM hourly ORDER BY bucket DESC, device_id LIMIT 8""",
+        "recent_hourly": base
+        + f"""SELECT device_id, date_trunc('hour', measured_at)::TIMESTAMP AS bucket,
+          {_half_up('avg(water_level)', 1)} AS water_avg, count(*) AS sample_count
+          FROM readings GROUP BY 1, 2 ORDER BY bucket DESC, device_id LIMIT 8""",
         "device_last_readings": base
         + f"""SELECT * FROM readings WHERE device_id = '{catalog.DEVICE}'
           ORDER BY measured_at DESC LIMIT 5""",
@@ -641,9 +642,9 @@ def oracle_sql():
           SELECT device_id, arg_max("at", seq) AS as_of,
             bool_or(value IS NULL OR coalesce("at" <= prev, false)) AS invalid FROM o GROUP BY 1""",
         "cadence": windowed
-        + """SELECT device_id, kind, round(cadence, 6) AS cadence_seconds FROM cadences""",
+        + """SELECT device_id, kind, cadence AS cadence_seconds FROM cadences""",
         "stale_rule": forecasts
-        + f"""SELECT device_id, kind, as_of, {_r('cadence_seconds')}, status = 'stale' AS stale
+        + f"""SELECT device_id, kind, as_of, cadence_seconds, status = 'stale' AS stale
           FROM forecasts""",
         "pairwise_slopes": fit.format("fit_points, pairs"),
         "theil_sen_slope": fit.format(_r("slope_per_hour", 9)),
