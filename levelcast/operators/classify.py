@@ -156,11 +156,18 @@ def _located(field, error):
 
 
 def condense(errors):
-    """First three errors, how many more there are, cut at 500 characters."""
-    errors = F.filter(errors, lambda e: e.isNotNull())
-    extra = F.size(errors) - _MAX_ERRORS
-    more = F.when(extra > 0, F.concat(F.lit("; (+"), extra.cast("string"), F.lit(" more)")))
-    shown = F.array_join(F.slice(errors, 1, _MAX_ERRORS), "; ")
+    """First three errors, how many more there are, cut at 500 characters.
+
+    `errors` are columns that are NULL where a check holds; concat_ws skips those.
+    """
+    found = sum((e.isNotNull().cast("int") for e in errors), F.lit(0))
+    # No wording holds a line break, so it can part the errors while they are cut.
+    first = F.substring_index(F.concat_ws("\n", *errors), "\n", _MAX_ERRORS)
+    shown = F.replace(first, F.lit("\n"), F.lit("; "))
+    more = F.when(
+        found > _MAX_ERRORS,
+        F.concat(F.lit("; (+"), (found - _MAX_ERRORS).cast("string"), F.lit(" more)")),
+    )
     return F.left(F.concat(shown, F.coalesce(more, F.lit(""))), F.lit(_MAX_CHARS))
 
 
@@ -195,7 +202,7 @@ def parse_payload(messages):
         water_level=_number(water),
         battery_voltage=_number(battery),
     )
-    checks = F.array(
+    checks = (
         _located("schema_version", _version_error(version)),
         _located("device_id", _device_error(device)),
         _located("measured_at", _time_error(at, F.col("measured_at"))),
