@@ -11,9 +11,11 @@ Device time only: `now` is an argument, nothing here reads a clock.
 """
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Window, functions as F, types as T
 
 from levelcast.functions.numbers import is_finite
@@ -21,6 +23,9 @@ from levelcast.functions.timecols import MICROS, crossing_time, minus_seconds, s
 from levelcast.metrics import METRICS, constant, require_columns
 from levelcast.operators import series
 
+# The fit travels to executors as code, so they need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 KEYS = ["device_id", "kind"]
 MIN_FIT_POINTS = 3
 # Fixed value: the two-sided 95 % quantile of the standard normal distribution.

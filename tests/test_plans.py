@@ -88,3 +88,20 @@ def test_query_against_sql(spark, name):
     want = sorted(str(tuple(r[i] for i in places)) for r in result.fetchall())
     assert sorted(result.columns) == order and got == want
     assert df.filter(F.lit(True)).columns
+
+
+def test_fit_code_needs_no_package_on_executors(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    blob = tmp_path / "fit.bin"
+    blob.write_bytes(cloudpickle.dumps(forecast._fit_one))
+    script = (
+        "import pickle, numpy as np; "
+        f"fit = pickle.load(open({str(blob)!r}, 'rb')); "
+        "x = np.arange(5) * 3600000000; "
+        "assert abs(fit(x, 9.0 - np.arange(5.0))[1] + 1.0) < 1e-12"
+    )
+    subprocess.run([sys.executable, "-c", script], cwd=tmp_path, check=True, timeout=60)
