@@ -86,10 +86,11 @@ def _repeated_words():
     return F.when(F.size("pairs") == 0, F.lit(0)).otherwise(covered)
 
 
-def measure(docs):
-    """(doc_id, text, lines, base counts, kept lines) of every document, NULL texts as ''."""
+def measure(docs, keep=()):
+    """Base counts and cleaned text of every document, NULL texts as ''; `row` holds the columns of `keep`."""
     text = F.col("text")
-    step = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"))
+    rows = [F.struct(*keep).alias("row")] if keep else []
+    step = docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text"), *rows)
     # Steps of their own: a filter on a result must not compute words and windows again.
     step = compute_once(step, words=words_of(text), lines=F.split(text, "\n"))
     n = F.size("words")
@@ -114,10 +115,11 @@ def measure(docs):
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size("good")).cast("bigint").alias("n_removed_lines"),
         F.array_join("good", "\n").alias("clean_text"),
+        *(["row"] if keep else []),
     )
 
 
-def clean_lines(docs, max_lost_percent=MAX_LOST_PERCENT):
+def clean_lines(docs, max_lost_percent=MAX_LOST_PERCENT, keep=()):
     """Remove failing lines from every text, then judge what is left.
 
     A line with a word fails when it lacks closing punctuation or is mostly
@@ -129,13 +131,14 @@ def clean_lines(docs, max_lost_percent=MAX_LOST_PERCENT):
     Returns doc_id, the counts, clean_text, lost_chars, base_failed and kept, one
     row per input row. NULL and empty texts have no words, fail the base counts
     and have clean_text ''. Repeated rows are judged alike, a NULL doc_id is
-    carried through, and further columns of `docs` are ignored.
+    carried through, and further columns of `docs` are ignored, unless `keep` names
+    columns to carry along in a struct `row`.
     No row is shuffled: the work of a row depends on its own text only.
     """
     lost = (F.length("text") - F.length("clean_text")).cast("bigint")
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT
     )
-    measured = measure(docs).withColumn("lost_chars", lost).withColumn("base_failed", base_failed)
+    measured = measure(docs, keep).withColumn("lost_chars", lost).withColumn("base_failed", base_failed)
     kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.length("text") * max_lost_percent)
     return measured.withColumn("kept", kept).drop("text")

@@ -145,8 +145,8 @@ def plan_mix(docs, weights=WEIGHTS, schedules=SCHEDULES, max_passes=MAX_PASSES):
 
 def first_words(text, n):
     """A text up to the end of its n-th word, spacing kept; '' for n = 0."""
-    pattern = F.concat(F.lit(r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), n.cast("string"), F.lit("}"))
-    return F.when(n <= 0, F.lit("")).otherwise(F.regexp_extract(text, pattern, 0))
+    spaced_words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    return F.when(n > 0, F.array_join(F.slice(spaced_words, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "")).otherwise("")
 
 
 def apply_mix(docs, weights=WEIGHTS, schedules=SCHEDULES, max_passes=MAX_PASSES):

@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from levelcast.llm import chat, licenses, line_chunks, line_rules, mixing, shards
+from levelcast.llm import (
+    chat,
+    compression_quality,
+    decontaminate,
+    licenses,
+    line_chunks,
+    line_rules,
+    mixing,
+    near_dup,
+    shards,
+    toxicity,
+)
 from levelcast.llm.common import table
 
 
@@ -10,6 +21,39 @@ def documents(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _remainder(doc_id, by):
+    return F.crc32(doc_id.cast("string").cast("binary")) % by
+
+
+def op1_edit_matching(spark, sf_dir):
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op2_nearest_toxic(spark, sf_dir):
+    scored = toxicity.score_toxicity(
+        documents(spark, sf_dir), table(spark, sf_dir, "labels"), lambda i: _remainder(i, 3) != 1
+    )
+    return scored.select(
+        "doc_id",
+        (F.coalesce(_remainder(F.col("doc_id"), 3), F.lit(0)) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.transform("neighbours", lambda n: n["doc_id"]).alias("evidence"),
+    )
+
+
+def op3_compression_quality(spark, sf_dir):
+    scored = compression_quality.score_quality(
+        documents(spark, sf_dir), table(spark, sf_dir, "labels"), lambda i: _remainder(i, 5) != 0
+    )
+    return scored.select(
+        "doc_id",
+        (F.coalesce(_remainder(F.col("doc_id"), 5), F.lit(1)) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op4_line_rules(spark, sf_dir):
     return line_rules.clean_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
@@ -29,6 +73,11 @@ def op5_prefix_targets(spark, sf_dir):
     return chat.digest(chat.expand(given.unionByName(probe)))
 
 
+def op6_bottom_k(spark, sf_dir):
+    found = near_dup.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_lookup_shards(spark, sf_dir):
     return shards.place(documents(spark, sf_dir)).select("doc_id", "source", "shard")
 
@@ -49,7 +98,18 @@ def op10_license_scan(spark, sf_dir):
 
 
 def queries():
-    own = (op4_line_rules, op5_prefix_targets, op7_lookup_shards, op8_line_chunks, op9_curriculum_mix, op10_license_scan)
+    own = (
+        op1_edit_matching,
+        op2_nearest_toxic,
+        op3_compression_quality,
+        op4_line_rules,
+        op5_prefix_targets,
+        op6_bottom_k,
+        op7_lookup_shards,
+        op8_line_chunks,
+        op9_curriculum_mix,
+        op10_license_scan,
+    )
     return {f.__name__: f for f in own}
 
 

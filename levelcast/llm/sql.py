@@ -176,7 +176,31 @@ SELECT doc_id, license, max(dice) AS dice, count(DISTINCT unit) AS n_matches
 FROM m WHERE dice >= {licenses.THRESHOLD} GROUP BY 1, 2
 """.replace("\\\\", "\\")
 
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {quoted(WORD)}) AS ws
+    FROM documents),
+g AS (
+    SELECT doc_id, CASE WHEN len(ws) >= 3 THEN list_distinct(list_transform(range(1, len(ws) - 1),
+               lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+           WHEN len(ws) > 0 THEN [list_aggregate(ws, 'string_agg', ' ')] ELSE [] END AS s
+    FROM d),
+u AS (SELECT doc_id, len(s) AS n, unnest(s) AS w FROM g),
+link AS (
+    SELECT a.doc_id AS x, b.doc_id AS y FROM u a JOIN u b ON a.w = b.w AND a.doc_id <> b.doc_id
+        AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+    GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(x, y) AS (
+    SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS component_id,
+       doc_id = least(doc_id, coalesce(y, doc_id)) AS kept
+FROM g LEFT JOIN least_of ON doc_id = x
+"""
+
 ORACLE = {
+    "op6_bottom_k": NEAR_DUPLICATES,
     "op4_line_rules": LINE_RULES,
     "op5_prefix_targets": PREFIX_TARGETS,
     "op7_lookup_shards": SHARDS,
