@@ -5,14 +5,19 @@ How a link is found, without ever pairing up all members of a group:
 1. Equal shingle sets form a class; only classes go on.
 2. A sketch is the k smallest shingle hashes of a set. Two sets as similar as
    asked share at least t sketch values (a binomial bound: fewer with a chance of
-   1e-9). Values are ordered by how many classes hold them, rarest first; if two
-   sketches share t values, they share one among the first k - t + 1 of each. Only
-   these few, rare values enter the inverted lists, so a passage that thousands of
-   documents quote builds no list unless the documents are made of it.
-3. Every class of a list is first paired with the list's few leaders. The leaders'
-   links already join most copies of a text. Only lists whose members are still in
-   different components pair those members, and skip pairs of one component.
-4. A pair is estimated from the union of the two sketches and confirmed on the
+   1e-9; for sets that fit into the sketch the bound is exact). A value that one
+   class alone holds cannot be shared, so a class with fewer than t other values
+   has no partner. A short sketch rules out most classes in this way, a long one
+   is taken of the rest.
+3. Values are ordered by how many classes hold them, rarest first; if two sketches
+   share t values, they share one among the first k - t + 1 of each. Only these
+   enter the inverted lists, so a passage that thousands of documents quote builds
+   no list unless the documents are made of it.
+4. Every class of a list is first paired with the list's leaders: those with the
+   fewest values of their own, which copies of a text lie around. Only lists whose
+   members are then still in different components pair those members. No pair is
+   made whose counts of shareable values cannot give the asked similarity.
+5. A pair is estimated from the union of the two sketches and confirmed on the
    full sets.
 """
 
@@ -24,6 +29,7 @@ from levelcast.llm.common import lower_ascii, materialize, words_of
 from levelcast.operators.stages import compute_once
 
 SKETCH = 48
+LONG_SKETCH = 512
 LEADERS = 3
 MISS = 1e-9  # chance that a true link shares fewer than t sketch values
 
@@ -66,20 +72,35 @@ def _close_sizes(a, b, percent):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def rare_prefixes(classes, k, percent):
-    """Classes that may have a partner: their sketch, and its values that enter lists."""
+def shared_values(classes, k, percent, name):
+    """(c, n, shared): sketch values that other classes hold too, rarest first.
+
+    Classes that have too few of them for any partner are left out.
+    """
     values = classes.select("c", "n", F.explode("sketch").alias("value"))
-    shared = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = materialize(shared.withColumnRenamed("value", "v"), "near-values")
-    held = values.join(shared, F.col("value") == F.col("v"))
+    counts = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    counts = materialize(counts.withColumnRenamed("value", "v"), f"{name}-values")
+    held = values.join(counts, F.col("value") == F.col("v"))
     per = held.groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("shared"))
-    per = per.withColumn("need", _needed(k, percent)).filter(F.size("shared") >= F.col("need"))
-    length = F.least(F.col("n"), F.lit(k))
+    per = per.filter(F.size("shared") >= _needed(k, percent))
+    return per.withColumn("shared", F.transform("shared", lambda s: s["value"]))
+
+
+def inverted_lists(shared, k, percent):
+    """(value, c, n, s): the values by which a partner must be found; s counts the shareable ones."""
+    length, s = F.least(F.col("n"), F.lit(k)), F.size("shared")
     # Values of one class only are the rarest and use up places of the prefix.
-    places = length - F.col("need") + 1 - (length - F.size("shared"))
-    per = per.filter(places > 0)
-    ordered = F.transform("shared", lambda s: s["value"])
-    return per.select("c", "n", F.slice(ordered, F.lit(1), places).alias("prefix"), ordered.alias("held"))
+    places = length - _needed(k, percent) + 1 - (length - s)
+    prefix = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
+    return shared.select(F.explode(prefix).alias("value"), "c", "n", s.alias("s"))
+
+
+def _possible(n_a, s_a, n_b, s_b, k, percent):
+    """Whether sizes and counts of shareable values leave room for the similarity."""
+    most = F.least(s_a, s_b)
+    whole = (n_a <= k) & (n_b <= k)
+    exact = most * (100 + percent) >= (n_a + n_b) * percent
+    return _close_sizes(n_a, n_b, percent) & F.when(whole, exact).otherwise(most >= least_shared(k, percent))
 
 
 def _keep_likely(pairs, sketches, k, percent):
@@ -133,55 +154,71 @@ def components(links, name="near-labels"):
             return labels
 
 
-def links_between(classes, rep_sets, k=SKETCH, percent=85, leaders=LEADERS):
+def links_between(classes, rep_sets, k=SKETCH, long_k=LONG_SKETCH, percent=85, leaders=LEADERS):
     """Links (a, b) that connect the same classes as all links of `percent` or more do.
 
     `classes` has (c, n, sketch); `rep_sets(survivors)` gives (c, shingles) for
-    the classes that can have a partner.
+    the classes that can have a partner. Links are between ids of the survivors,
+    returned as (id, c) as well.
     """
-    survivors = materialize(rare_prefixes(classes, k, percent), "near-survivors")
-    sketches = materialize(classes.join(survivors.select("c"), "c", "left_semi"), "near-sketches")
-    sets = materialize(rep_sets(survivors.select("c")), "near-sets")
-    lists = materialize(survivors.select(F.explode("prefix").alias("value"), "c", "n", "prefix"), "near-lists")
+    first = shared_values(classes, k, percent, "near-short").select("c")
+    # Written, so the ids stay as they are.
+    survivors = materialize(
+        rep_sets(first).withColumn("id", F.monotonically_increasing_id()), "near-sets"
+    )
+    sets = survivors.select(F.col("id").alias("c"), F.size("shingles").cast("bigint").alias("n"), "shingles")
+    long = sets.select("c", "n", F.slice("shingles", 1, long_k).alias("sketch"))
+    sketches = sets.select("c", "n", F.slice("shingles", 1, k).alias("sketch"))
+    lists = materialize(
+        inverted_lists(shared_values(long, long_k, percent, "near-long"), long_k, percent), "near-lists"
+    )
 
+    lone = F.col("n") - F.col("s")
+    order = [lone / F.col("n")] + [F.xxhash64(F.lit(i), "c") for i in range(1, leaders)]
     firsts = lists.groupBy("value").agg(
-        *[F.min(F.struct(F.xxhash64(F.lit(i), "c").alias("h"), "c", "n")).alias(f"l{i}") for i in range(leaders)],
+        *[F.min(F.struct(o.alias("o"), "c", "n", "s")).alias(f"l{i}") for i, o in enumerate(order)],
         F.count("*").alias("m"),
     )
-    firsts = firsts.filter("m > 1").select(F.col("value").alias("v"), F.array(*[f"l{i}" for i in range(leaders)]).alias("ls"))
-    firsts = materialize(firsts, "near-leaders")
-    starred = lists.join(firsts, F.col("value") == F.col("v")).select("c", "n", F.explode(F.array_distinct("ls")).alias("l"))
-    starred = starred.filter((F.col("c") != F.col("l.c")) & _close_sizes(F.col("n"), F.col("l.n"), percent))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = materialize(starred.select(*ordered(F.col("c"), F.col("l.c"))).distinct(), "near-pairs")
+    bare = lambda x: F.struct(F.col(f"{x}.c").alias("c"), F.col(f"{x}.n").alias("n"), F.col(f"{x}.s").alias("s"))
+    firsts = materialize(
+        firsts.filter("m > 1").select(F.col("value").alias("v"), *[bare(f"l{i}").alias(f"l{i}") for i in range(leaders)]),
+        "near-leaders",
+    )
+    # A class meets mostly the same leaders in its lists: gathered per class before pairs are made.
+    led = lists.join(firsts, F.col("value") == F.col("v")).groupBy("c", "n", "s").agg(
+        F.array_distinct(F.flatten(F.array(*[F.collect_set(f"l{i}") for i in range(leaders)]))).alias("ls")
+    )
+    starred = led.select("c", "n", "s", F.explode(
+        F.filter("ls", lambda l: (l["c"] != F.col("c")) & _possible(F.col("n"), F.col("s"), l["n"], l["s"], long_k, percent))
+    ).alias("l"))
+    pairs = starred.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b"))
+    pairs = materialize(pairs.distinct(), "near-pairs")
     star_links = materialize(_confirm(_keep_likely(pairs, sketches, k, percent), sets, percent), "near-star-links")
     labels = components(star_links)
 
     # Lists whose members are in more than one component still may hide links.
     placed = lists.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select(
-        "value", "c", "n", "prefix", F.coalesce("label", "c").alias("label")
+        "value", "c", "n", "s", F.coalesce("label", "c").alias("label")
     )
     placed = materialize(placed, "near-placed")
     mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
     mixed = materialize(mixed.filter("lo <> hi AND m > 2").select(F.col("value").alias("v")), "near-mixed")
     left = materialize(placed.join(mixed, F.col("value") == F.col("v"), "left_semi"), "near-left")
-    one, two = left.alias("one"), left.alias("two")
-    first_common = F.get(F.array_intersect("one.prefix", "two.prefix"), 0)
-    others = one.join(
-        two,
-        (F.col("one.value") == F.col("two.value"))
-        & (F.col("one.c") < F.col("two.c"))
-        & (F.col("one.label") != F.col("two.label"))
-        & _close_sizes(F.col("one.n"), F.col("two.n"), percent)
-        & (first_common == F.col("one.value")),
-    ).select(F.col("one.c").alias("a"), F.col("two.c").alias("b"))
-    others = others.join(pairs, ["a", "b"], "left_anti")
-    others = materialize(others, "near-others")
+    x, y = left.alias("x"), left.alias("y")
+    others = x.join(
+        y,
+        (F.col("x.value") == F.col("y.value"))
+        & (F.col("x.c") < F.col("y.c"))
+        & (F.col("x.label") != F.col("y.label"))
+        & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s"), long_k, percent),
+    ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    others = materialize(others.distinct().join(pairs, ["a", "b"], "left_anti"), "near-others")
     more = _confirm(_keep_likely(others, sketches, k, percent), sets, percent)
-    return materialize(star_links.unionAll(more), "near-all-links")
+    links = materialize(star_links.unionAll(more), "near-all-links")
+    return links, survivors.select("id", "c")
 
 
-def near_duplicates(docs, width=5, percent=80, k=SKETCH, leaders=LEADERS):
+def near_duplicates(docs, width=5, percent=80, k=SKETCH, long_k=LONG_SKETCH, leaders=LEADERS):
     """Group documents that are linked, directly or through others, by near-equal texts.
 
     A text's set: distinct shingles of `width` words (A-Z lower-cased); with fewer
@@ -216,10 +253,10 @@ def near_duplicates(docs, width=5, percent=80, k=SKETCH, leaders=LEADERS):
         chosen = chosen.dropDuplicates(["c"]).select(F.col("c").alias("doc_id"), "text")
         return shingle_sets(chosen, width).select(F.col("doc_id").alias("c"), "shingles")
 
-    links = links_between(classes.select("c", "n", "sketch"), rep_sets, k, percent, leaders)
-    labels = components(links)
+    links, ids = links_between(classes.select("c", "n", "sketch"), rep_sets, k, long_k, percent, leaders)
+    labels = components(links).select(F.col("c").alias("id"), "label").join(ids, "id").select("c", "label")
     named = classes.select("c", "rep").join(labels, "c", "left").select(
-        "c", F.coalesce("label", "c").alias("label"), "rep"
+        "c", F.coalesce(F.hex(F.col("label")), F.hex("c")).alias("label"), "rep"
     )
     named = materialize(named, "near-named")
     lowest = materialize(named.groupBy("label").agg(F.min("rep").alias("lead")), "near-lowest")
