@@ -6,10 +6,13 @@ from levelcast.functions.timecols import as_col
 
 
 def round_half_up(c, digits):
-    """Decimal rounding of the 15 significant digits of a double, half away from zero."""
+    """Decimal rounding of the 15 significant digits of a double, half away from zero.
+
+    Values too large for the decimal (1e23 and beyond) have no such digits and stay as they are.
+    """
     text = F.format_string("%.14e", as_col(c))
     exact = F.when(as_col(c).isNotNull(), text).try_cast("decimal(38,15)")
-    return F.round(exact, digits).cast("double")
+    return F.coalesce(F.round(exact, digits).cast("double"), as_col(c).cast("double"))
 
 
 def whole_seconds(c):

@@ -15,16 +15,11 @@ _FIELDS = ("schema_version", "device_id", "measured_at", "water_level", "battery
 _MAX_ERRORS = 3
 _MAX_CHARS = 500
 
-# The payload is parsed inside an envelope that ends with a hash of the payload:
-# text after the end of the payload's JSON value breaks the envelope.
-_ENVELOPE = (
-    "struct<p:struct<" + ",".join(f"{f}:variant" for f in _FIELDS) + ">,seal:string,broken:string>"
-)
-_JSON_OPTIONS = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "broken",
-    "allowSingleQuotes": "false",
-}
+# The payload is parsed as the first of exactly two elements of an array, the
+# second being a hash of the payload. An array has no keys that a payload could
+# set, and text beyond the payload's one JSON value gives more elements or none.
+_ENVELOPE = "array<struct<" + ",".join(f"{f}:variant" for f in _FIELDS) + ",seal:string>>"
+_JSON_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 # The wording of each check.
 MISSING = "Field required"
@@ -120,7 +115,8 @@ def _far_zone(iso):
 
 def _epoch(number):
     seconds = F.when(F.abs(number) <= _SECONDS_LIMIT, number).otherwise(number / 1000.0)
-    usable = F.abs(seconds) < F.lit(253_402_300_800.0)
+    # The first second of year 1 and of year 10000.
+    usable = (seconds >= F.lit(-62_135_596_800.0)) & (seconds < F.lit(253_402_300_800.0))
     return F.when(usable, F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
 
 
@@ -179,12 +175,12 @@ def parse_payload(messages):
     inputs = messages.columns
     text = F.col("payload").cast("string")
     seal = F.xxhash64("payload").cast("string")
-    sealed = F.concat(F.lit('{"p":'), text, F.lit(',"seal":"'), seal, F.lit('"}'))
+    sealed = F.concat(F.lit("["), text, F.lit(',{"seal":"'), seal, F.lit('"}]'))
     doc = F.from_json(F.when(F.is_valid_utf8(text), sealed), _ENVELOPE, _JSON_OPTIONS)
     parsed = compute_once(messages, _doc=doc)
 
-    p = F.col("_doc.p")
-    whole = p.isNotNull() & F.col("_doc.broken").isNull() & (F.col("_doc.seal") == seal)
+    p = F.get("_doc", 0)
+    whole = p.isNotNull() & (F.size("_doc") == 2) & (F.get("_doc", 1)["seal"] == seal)
     other_json = F.when(
         F.is_valid_utf8(text) & ~F.ltrim(text).startswith("{"), F.try_parse_json(text).isNotNull()
     )

@@ -181,12 +181,13 @@ def _fit_one(at, value):
     m = len(slopes)
     if m == 0:
         return None
-    spread = Z95 * math.sqrt(n * (n - 1) * (2 * n + 5) / 18.0)
-    low = min(max(math.floor((m - spread) / 2.0), 0), m - 1)
-    high = min(max(math.ceil((m + spread) / 2.0), 0), m - 1)
-    ranks = sorted({low, high, (m - 1) // 2, m // 2})
-    slopes.partition(ranks)
-    slope = (slopes[(m - 1) // 2] + slopes[m // 2]) / 2
+    # Ranks of the interval's ends around the middle rank: outward to whole ranks, kept inside.
+    half = Z95 * math.sqrt(n * (n - 1) * (2 * n + 5) / 18.0) / 2.0
+    outward = (math.floor(m / 2.0 - half), math.ceil(m / 2.0 + half))
+    low, high = (int(r) for r in np.clip(outward, 0, m - 1))
+    middle = [(m - 1) // 2, m // 2]
+    slopes.partition(sorted({low, high, *middle}))
+    slope = slopes[middle].mean()
     intercept = np.median(value - slope * x)
     mad = np.median(np.abs(value - (slope * x + intercept)))
     return m, slope, slopes[low], slopes[high], intercept, mad

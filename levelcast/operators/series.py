@@ -12,9 +12,9 @@ from pyspark.sql import Window, functions as F
 
 from levelcast.functions.timecols import MICROS, minus_seconds, seconds_between
 from levelcast.metrics import constant
-from levelcast.operators.skew import salted_join
 
 SLICE_SECONDS = 3600
+GAP_BUCKET_SECONDS = 1.0
 _SLICE = "_slice"
 
 
@@ -171,14 +171,14 @@ def exact_median(df, keys, value, bucket_width):
 def cadence(lagged, keys):
     """Median of the positive gaps of each key, in seconds; keys without a gap have no row.
 
-    Gaps are whole microseconds and add up to at most the span of the series, so
-    a key has at most sqrt(2 x span) distinct gaps whatever its row count.
+    Narrowed to buckets of gaps first, so that a series whose gaps all differ does
+    not sort its whole histogram in one task.
     """
     gap = F.unix_micros("at") - F.unix_micros("prev_at")
     gaps = lagged.select(*keys, gap.alias("_gap")).filter(F.col("_gap") > 0)
     histogram = gaps.groupBy(*keys, "_gap").agg(F.count(F.lit(1)).alias("_n"))
     histogram = histogram.withColumn("_gap", F.col("_gap") / F.lit(float(MICROS)))
-    return weighted_median(histogram, keys, "_gap", "_n").withColumnRenamed(
+    return weighted_median(histogram, keys, "_gap", "_n", GAP_BUCKET_SECONDS).withColumnRenamed(
         "median", "cadence_seconds"
     )
 
@@ -222,7 +222,7 @@ def newest_segment(segmented):
     """Rows of the last segment of every (device, kind)."""
     keys = ["device_id", "kind"]
     last = segmented.groupBy(*keys).agg(F.max("segment_id").alias("segment_id"))
-    return salted_join(segmented, last, [*keys, "segment_id"], salt_on=["at"])
+    return segmented.join(last, [*keys, "segment_id"])
 
 
 def newest_rows(df, keys, at, cap):

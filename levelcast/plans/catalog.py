@@ -12,7 +12,6 @@ from pyspark.sql import functions as F, types as T
 from levelcast.functions import numbers, timecols, wire
 from levelcast.metrics import BATTERY, DAY, HOUR, WATER
 from levelcast.operators import alerts, arrivals, classify, forecast, merge, rollups, series
-from levelcast.operators.skew import salted_join
 from levelcast.plans import forecast_pass as passes
 from levelcast.plans import ingest, panels
 from levelcast.plans.rollup_tables import RollupTable
@@ -966,7 +965,7 @@ def alert_message(spark, d):
 def device_readings(spark, d):
     """Readings with their device's first sighting."""
     devices = _devices(spark, d).select("device_id", "first_seen")
-    joined = salted_join(_readings(spark, d), devices, ["device_id"], salt_on=["measured_at"])
+    joined = _readings(spark, d).join(devices, "device_id")
     return joined.select("device_id", "measured_at", "water_level", "first_seen")
 
 

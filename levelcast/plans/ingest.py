@@ -15,7 +15,7 @@ def ingest_batch(tables, messages, batch):
     under the same batch name sees the tables as they were before its first try:
     logs replace the batch's own rows and own telemetry rows are set apart.
     """
-    classified = classify(messages).persist(StorageLevel.MEMORY_AND_DISK)
+    classified, accepted = classify(messages).persist(StorageLevel.MEMORY_AND_DISK), None
     try:
         valid = readings_of(classified)
         seen = tables.devices(without=batch)
@@ -33,8 +33,9 @@ def ingest_batch(tables, messages, batch):
         tables.append_telemetry(
             missing.drop("arrival_seq").withColumn("batch_id", F.lit(batch))
         )
-        accepted.unpersist()
     finally:
+        if accepted is not None:
+            accepted.unpersist()
         classified.unpersist()
     return tables.log("ingest_stats").filter(F.col("batch") == batch).drop("batch")
 
@@ -42,11 +43,13 @@ def ingest_batch(tables, messages, batch):
 def _stored(tables, valid, batch):
     """Keys stored before this batch, and keys a previous try of it stored.
 
-    Only the days the batch touches are read; their number is bounded by the
-    calendar, not by the rows.
+    Only the days the batch touches are read: a semi join on the partition column,
+    which reaches the scan as dynamic pruning, inside literal bounds of the days.
     """
-    days = [r[0] for r in valid.select(F.to_date("measured_at")).distinct().collect()]
-    stored = tables.telemetry(days=days).select(*ops.KEY, "batch_id")
+    days = valid.select(F.to_date("measured_at").alias("measured_date"))
+    first, last = days.agg(F.min("measured_date"), F.max("measured_date")).first()
+    stored = tables.telemetry().filter(F.col("measured_date").between(F.lit(first), F.lit(last)))
+    stored = stored.join(days.distinct(), "measured_date", "left_semi").select(*ops.KEY, "batch_id")
     return stored.filter(F.col("batch_id") != batch), stored.filter(F.col("batch_id") == batch)
 
 

@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F, types as T
 
 from levelcast import schemas
-from levelcast.functions.timecols import time_bucket, utc
+from levelcast.functions.timecols import time_bucket
 from levelcast.operators.rollups import KEY_FORMAT, POLICIES, WIDTH_SECONDS, rollup, rollup_realtime
 
 
@@ -58,28 +58,33 @@ class RollupTable:
         start = None if edge is None else self._floor(now - datetime.timedelta(seconds=start_offset))
         if start is not None:
             start = min(start, edge)
-        bucket = time_bucket(self.unit, "measured_at")
-        buckets = None
+        late = None
         if edge is not None and touched is not None:
-            late = touched.select(bucket.alias("bucket")).filter(F.col("bucket") < F.lit(edge))
-            # Bounded by the calendar: one row per bucket.
-            buckets = [utc(r[0]) for r in late.distinct().collect()]
-        self._recompute(start, end, buckets or [])
+            bucket = time_bucket(self.unit, "measured_at").alias("bucket")
+            late = touched.select(bucket, F.to_date("measured_at").alias("measured_date")).filter(
+                F.col("bucket") < F.lit(start)
+            ).distinct()
+        self._recompute(start, end, late)
 
-    def _recompute(self, start, end, buckets):
-        oldest = min([b for b in [start, *buckets] if b is not None], default=None)
-        whole = start is None
-        raw = self.tables.telemetry(
-            since=None if whole else oldest - datetime.timedelta(microseconds=1)
-        )
-        at = F.col("measured_at")
-        inside = at < F.lit(end) if whole else (at >= F.lit(start)) & (at < F.lit(end))
-        wanted = inside
-        if buckets and not whole:
-            days = sorted({b.date() for b in buckets})
-            hit = time_bucket(self.unit, "measured_at").isin(buckets)
-            wanted = inside | (F.col("measured_date").isin(days) & hit)
-        fresh = rollup(raw.filter(wanted), self.unit)
+    def _recompute(self, start, end, late):
+        """Two reads: the policy window, bounded by its instants, and late buckets, by their days.
+
+        `late` are buckets before `start` with their days; joined to the partition
+        column, they prune the scan to those days however old they are.
+        """
+        if start is None:
+            raw = self.tables.telemetry().filter(F.col("measured_at") < F.lit(end))
+        else:
+            raw = self.tables.telemetry(since=start - datetime.timedelta(microseconds=1)).filter(
+                F.col("measured_at") < F.lit(end)
+            )
+        if late is not None and start is not None:
+            old = self.tables.telemetry().filter(F.col("measured_date") <= F.to_date(F.lit(start)))
+            old = old.join(late.select("measured_date").distinct(), "measured_date", "left_semi")
+            old = old.withColumn("bucket", time_bucket(self.unit, "measured_at"))
+            old = old.join(late.select("bucket").distinct(), "bucket", "left_semi")
+            raw = raw.unionByName(old.select(*raw.columns))
+        fresh = rollup(raw, self.unit)
         key = F.date_format("bucket", KEY_FORMAT[self.unit])
         (
             fresh.withColumn("bucket_key", key)

@@ -16,6 +16,7 @@ _S, _TS, _D, _L, _I = (
 )
 
 # arrival_seq breaks ties of received_at: (received_at, arrival_seq) names one arrival.
+# Sources that need two numbers for that (Kafka, capture files) give a pair instead.
 MESSAGES = _schema(
     ("topic", _S), ("payload", T.BinaryType()), ("received_at", _TS), ("arrival_seq", _L)
 )

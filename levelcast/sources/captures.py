@@ -7,14 +7,9 @@ from levelcast.operators import classify, series
 from levelcast.operators.stages import compute_once
 
 _FIELDS = ("topic", "captured_at", "payload", "payload_b64")
-_RECORD = (
-    "struct<r:struct<" + ",".join(f"{f}:variant" for f in _FIELDS) + ">,seal:string,broken:string>"
-)
-_OPTIONS = {
-    "mode": "PERMISSIVE",
-    "columnNameOfCorruptRecord": "broken",
-    "allowSingleQuotes": "false",
-}
+# A line is the first of exactly two elements of an array; see operators/classify.py.
+_RECORD = "array<struct<" + ",".join(f"{f}:variant" for f in _FIELDS) + ",seal:string>>"
+_OPTIONS = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 _BASE64 = r"\A(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z"
 # The reasons a line can be refused for.
 BAD_JSON = "invalid json"
@@ -52,16 +47,16 @@ def decode_records(lines):
     """Add topic, captured_at, payload and `error` (NULL for a good line) to `value` lines."""
     value = F.col("value")
     seal = F.xxhash64("value").cast("string")
-    sealed = F.concat(F.lit('{"r":'), value, F.lit(',"seal":"'), seal, F.lit('"}'))
+    sealed = F.concat(F.lit("["), value, F.lit(',{"seal":"'), seal, F.lit('"}]'))
     readable = F.when(F.is_valid_utf8(value), sealed)
     parsed = compute_once(lines, _doc=F.from_json(readable, _RECORD, _OPTIONS))
-    r = F.col("_doc.r")
+    r = F.get("_doc", 0)
     topic, at, text, encoded = (r[f] for f in _FIELDS)
     kind = F.schema_of_variant
     plain = lambda v: F.try_variant_get(v, "$", "string")
     # A JSON null counts as an absent payload field.
     has = lambda v: v.isNotNull() & (kind(v) != "VOID")
-    whole = r.isNotNull() & F.col("_doc.broken").isNull() & (F.col("_doc.seal") == seal)
+    whole = r.isNotNull() & (F.size("_doc") == 2) & (F.get("_doc", 1)["seal"] == seal)
     captured_at = classify.utc_timestamp(F.regexp_replace(plain(at), " ", "T"))
     zoneless = plain(at).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
     error = (
@@ -129,7 +124,8 @@ def capture_lines(messages):
             F.col("topic").alias("topic"),
             iso_offset("captured_at").alias("captured_at"),
             F.when(readable, text).alias("payload"),
-            F.when(~readable, F.base64("payload")).alias("payload_b64"),
+            # base64() breaks its text into lines; a record has none.
+            F.when(~readable, F.translate(F.base64("payload"), "\r\n", "")).alias("payload_b64"),
         ),
         {"ignoreNullFields": "true"},
     )
@@ -188,10 +184,13 @@ def replay_offsets(captured, speed, order="line_no", block="block"):
 
 
 def replay_messages(captured):
-    """Captured records as arrivals of the ingest path, payload bytes unchanged."""
+    """Captured records as arrivals of the ingest path, payload bytes unchanged.
+
+    Records of one time are ordered by file and line: line numbers restart in each file.
+    """
     return captured.select(
         "topic",
         "payload",
         F.col("captured_at").alias("received_at"),
-        F.col("line_no").alias("arrival_seq"),
+        F.struct("file", "line_no").alias("arrival_seq"),
     )

@@ -24,15 +24,14 @@ def message_stream(spark, path, max_files_per_trigger=None):
 def kafka_messages(records):
     """Kafka records (key = topic text) as messages.
 
-    arrival_seq packs offset and partition, so it names a record of the Kafka topic.
+    arrival_seq is the pair of offset and partition, which names a record of the topic.
     """
-    sequence = F.shiftleft(F.col("offset"), 12).bitwiseOR(F.col("partition").cast("bigint"))
     return subscribed(
         records.select(
             F.col("key").cast("string").alias("topic"),
             F.col("value").alias("payload"),
             F.col("timestamp").alias("received_at"),
-            sequence.alias("arrival_seq"),
+            F.struct("offset", "partition").alias("arrival_seq"),
         )
     )
 

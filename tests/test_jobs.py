@@ -258,8 +258,13 @@ def test_streaming_ingest_matches_batch(spark, tables, tmp_path):
 
 def test_kafka_records_become_messages(spark):
     df = spark.createDataFrame(
-        [("planter/v1/p/telemetry", bytearray(b"{}"), START, 5, 3), ("x", bytearray(b""), START, 6, 0)],
+        [
+            ("planter/v1/p/telemetry", bytearray(b"{}"), START, 5, 5000),
+            ("planter/v1/q/telemetry", bytearray(b"{}"), START, 6, 904),
+            ("x", bytearray(b""), START, 6, 0),
+        ],
         "key string, value binary, timestamp timestamp, offset long, partition int",
     )
-    (row,) = messages.kafka_messages(df).collect()
-    assert row.arrival_seq == 5 * 4096 + 3 and row.topic.endswith("/telemetry")
+    rows = messages.kafka_messages(df).orderBy("arrival_seq").collect()
+    assert [tuple(r.arrival_seq) for r in rows] == [(5, 5000), (6, 904)]
+    assert all(r.topic.endswith("/telemetry") for r in rows)
