@@ -15,7 +15,7 @@ from levelcast.operators import alerts, arrivals, classify, forecast, merge, rol
 from levelcast.plans import forecast_pass as passes
 from levelcast.plans import ingest, panels
 from levelcast.plans.rollup_tables import RollupTable
-from levelcast.session import prepare, scratch_dir
+from levelcast.session import prepare, scratch_dir, written
 from levelcast.sources import captures, events, messages
 from levelcast.sources.tables import (
     Tables,
@@ -93,6 +93,15 @@ def _classified(spark, d):
     return classify.classify(events.messages(spark, d))
 
 
+def _parsed(spark, d):
+    """The classified messages without their text, written: several uses, one parse."""
+    return written(_classified(spark, d).drop("topic", "payload", "reason"), scratch_dir(spark, "parsed"))
+
+
+def _parsed_valid(spark, d):
+    return _parsed(spark, d).filter(F.col("outcome") == "reading").drop("outcome")
+
+
 def _valid(spark, d):
     return classify.readings_of(_classified(spark, d))
 
@@ -106,7 +115,8 @@ def _accepted(spark, d):
 
 
 def _events_log(spark, d):
-    return arrivals.dedupe_events(_valid(spark, d), _accepted(spark, d))
+    valid = _parsed_valid(spark, d)
+    return arrivals.dedupe_events(valid, arrivals.first_arrivals(valid))
 
 
 def _devices(spark, d):
@@ -466,14 +476,14 @@ def dedupe_events(spark, d):
 
 @query
 def arrival_out_of_order(spark, d):
-    judged = arrivals.arrival_out_of_order(_valid(spark, d))
+    judged = arrivals.arrival_out_of_order(_parsed_valid(spark, d))
     return judged.select("arrival_seq", "device_id", "measured_at", "newest_before", "out_of_order")
 
 
 @query
 def ingest_counters(spark, d):
-    classified = _classified(spark, d)
-    valid = classify.readings_of(classified)
+    classified = _parsed(spark, d)
+    valid = classified.filter(F.col("outcome") == "reading").drop("outcome")
     return arrivals.ingest_counters(
         classified, arrivals.first_arrivals(valid), arrivals.arrival_out_of_order(valid)
     )
@@ -754,8 +764,9 @@ def checkin_health(spark, d):
 
 @query
 def window_counts(spark, d):
-    accepted = _accepted(spark, d)
-    return panels.window_counts(accepted, _events_log(spark, d), START, END)
+    valid = _parsed_valid(spark, d)
+    accepted = arrivals.first_arrivals(valid)
+    return panels.window_counts(accepted, arrivals.dedupe_events(valid, accepted), START, END)
 
 
 # -- forecasting --------------------------------------------------------------------

@@ -1,10 +1,10 @@
 """The ingest job: the same function for a batch, a replay and a micro-batch."""
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from levelcast.operators import arrivals as ops
 from levelcast.operators.classify import classify, dead_letters_of, readings_of
+from levelcast.session import scratch_tables
 from levelcast.sources import captures
 
 
@@ -15,12 +15,15 @@ def ingest_batch(tables, messages, batch):
     under the same batch name sees the tables as they were before its first try:
     logs replace the batch's own rows and own telemetry rows are set apart.
     """
-    classified, accepted = classify(messages).persist(StorageLevel.MEMORY_AND_DISK), None
-    try:
+    with scratch_tables(tables.spark, "ingest") as write:
+        # The payload is parsed once; only dead letters still need it.
+        rejected = F.col("outcome") == "dead_letter"
+        judged_once = classify(messages).withColumn("payload", F.when(rejected, F.col("payload")))
+        classified = write(judged_once, "classified")
         valid = readings_of(classified)
         seen = tables.devices(without=batch)
         tables_before, own = _stored(tables, valid, batch)
-        accepted = ops.new_arrivals(valid, tables_before).persist(StorageLevel.MEMORY_AND_DISK)
+        accepted = write(ops.new_arrivals(valid, tables_before), "accepted")
         judged = ops.arrival_out_of_order(valid, seen)
         counters = ops.ingest_counters(classified, accepted, judged)
 
@@ -33,10 +36,6 @@ def ingest_batch(tables, messages, batch):
         tables.append_telemetry(
             missing.drop("arrival_seq").withColumn("batch_id", F.lit(batch))
         )
-    finally:
-        if accepted is not None:
-            accepted.unpersist()
-        classified.unpersist()
     return tables.log("ingest_stats").filter(F.col("batch") == batch).drop("batch")
 
 

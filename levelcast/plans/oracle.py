@@ -49,7 +49,8 @@ wire AS (
     CASE damage WHEN 4 THEN '{_ROOT}/' || device_id || 'x/{wire.TOPIC_LEAF}'
                 WHEN 5 THEN '{_ROOT}/' || device_id || '/status'
                 ELSE '{_ROOT}/' || device_id || '/{wire.TOPIC_LEAF}' END AS topic,
-    CASE damage WHEN 1 THEN left(body, length(body) // 2) ELSE body END AS payload,
+    CASE damage WHEN 1 THEN left(body, length(body) // 2) WHEN 8 THEN body || ',"q":1'
+                WHEN 9 THEN '{{}},"p":' || body ELSE body END AS payload,
     received_at + copy * INTERVAL 1 SECOND AS received_at,
     event_id * 2 + copy AS arrival_seq
   FROM whole, (VALUES (0), (1)) c(copy)
@@ -59,6 +60,8 @@ judged AS (
   SELECT *,
     CASE damage
       WHEN 1 THEN 'payload: Invalid JSON'
+      WHEN 8 THEN 'payload: Invalid JSON'
+      WHEN 9 THEN 'payload: Invalid JSON'
       WHEN 2 THEN 'water_level: Input should be a valid number, unable to parse string as a number'
       WHEN 3 THEN 'device_id: Field required'
       WHEN 6 THEN 'measured_at: Input should have timezone info'

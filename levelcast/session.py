@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -43,3 +44,20 @@ def scratch_dir(spark, prefix="run"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/levelcast-{prefix}-{uuid.uuid4().hex}"
+
+
+def written(df, path):
+    """Write a table and read it back: computed once, whatever executor is lost later."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch_tables(spark, prefix):
+    """Gives write(df, name) for tables below one scratch folder, which is deleted at the end."""
+    root = scratch_dir(spark, prefix)
+    try:
+        yield lambda df, name: written(df, f"{root}/{name}")
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

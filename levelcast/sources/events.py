@@ -50,7 +50,10 @@ def readings(spark, directory):
 
 
 def messages(spark, directory):
-    """Wire messages: damage by event_id % 50, every 20th emitted twice."""
+    """Wire messages: damage by event_id % 50, every 20th emitted twice.
+
+    Damage 8 and 9 are text that would extend a wrapper around the payload.
+    """
     rows = _levels(load_events(spark, directory)).withColumn("damage", F.col("event_id") % 50)
     damaged = lambda n: F.col("damage") == n
     at = F.date_format("measured_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
@@ -84,7 +87,13 @@ def messages(spark, directory):
     copies = F.expr("CASE WHEN event_id % 20 = 0 THEN array(0, 1) ELSE array(0) END")
     return (
         rows.withColumn("_text", text)
-        .withColumn("_payload", F.when(damaged(1), half).otherwise(F.col("_text")))
+        .withColumn(
+            "_payload",
+            F.when(damaged(1), half)
+            .when(damaged(8), F.concat(F.col("_text"), F.lit(',"q":1')))
+            .when(damaged(9), F.concat(F.lit('{},"p":'), F.col("_text")))
+            .otherwise(F.col("_text")),
+        )
         .withColumn("_copy", F.explode(copies))
         .select(
             topic.alias("topic"),
