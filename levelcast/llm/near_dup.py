@@ -16,7 +16,8 @@ How a link is found, without ever pairing up all members of a group:
 4. Every class of a list is first paired with the list's leaders: those with the
    fewest values of their own, which copies of a text lie around. Only lists whose
    members are then still in different components pair those members. No pair is
-   made whose counts of shareable values cannot give the asked similarity.
+   made that sizes, counts of shareable values or the place of the value in both
+   orders rule out: for sets inside the long sketch these bounds are exact.
 5. A pair is estimated from the union of the two sketches and confirmed on the
    full sets.
 """
@@ -87,20 +88,32 @@ def shared_values(classes, k, percent, name):
 
 
 def inverted_lists(shared, k, percent):
-    """(value, c, n, s): the values by which a partner must be found; s counts the shareable ones."""
+    """(value, c, n, s, i): the values by which a partner must be found.
+
+    s counts the shareable values of a class, i is the place of the value in its
+    order; values of one class only are the rarest and take the first places.
+    """
     length, s = F.least(F.col("n"), F.lit(k)), F.size("shared")
-    # Values of one class only are the rarest and use up places of the prefix.
-    places = length - _needed(k, percent) + 1 - (length - s)
+    lone = length - s
+    places = length - _needed(k, percent) + 1 - lone
     prefix = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
-    return shared.select(F.explode(prefix).alias("value"), "c", "n", s.alias("s"))
+    lists = shared.select("c", "n", s.alias("s"), lone.alias("lone"), F.posexplode(prefix).alias("at", "value"))
+    return lists.select("value", "c", "n", "s", (F.col("lone") + F.col("at")).cast("bigint").alias("i"))
+
 
+def _possible(a, b, k, percent):
+    """Whether two entries of one list leave room for the similarity, this being their first common value.
 
-def _possible(n_a, s_a, n_b, s_b, k, percent):
-    """Whether sizes and counts of shareable values leave room for the similarity."""
-    most = F.least(s_a, s_b)
-    whole = (n_a <= k) & (n_b <= k)
-    exact = most * (100 + percent) >= (n_a + n_b) * percent
-    return _close_sizes(n_a, n_b, percent) & F.when(whole, exact).otherwise(most >= least_shared(k, percent))
+    Two sets of n and m shingles need common = percent * (n + m) / (100 + percent)
+    shingles; what stands before the value, and what no other class holds, is lost.
+    """
+    needs = (a["n"] + b["n"]) * percent
+    room = lambda x: F.least(x["s"].cast("bigint"), x["n"] - x["i"]) * (100 + percent) >= needs
+    whole = (a["n"] <= k) & (b["n"] <= k)
+    most = F.least(a["s"], b["s"])
+    return _close_sizes(a["n"], b["n"], percent) & F.when(whole, room(a) & room(b)).otherwise(
+        most >= least_shared(k, percent)
+    )
 
 
 def _keep_likely(pairs, sketches, k, percent):
@@ -173,32 +186,30 @@ def links_between(classes, rep_sets, k=SKETCH, long_k=LONG_SKETCH, percent=85, l
         inverted_lists(shared_values(long, long_k, percent, "near-long"), long_k, percent), "near-lists"
     )
 
-    lone = F.col("n") - F.col("s")
-    order = [lone / F.col("n")] + [F.xxhash64(F.lit(i), "c") for i in range(1, leaders)]
+    fields = ("c", "n", "s", "i")
+    order = [(F.col("n") - F.col("s")) / F.col("n")] + [F.xxhash64(F.lit(i), "c") for i in range(1, leaders)]
     firsts = lists.groupBy("value").agg(
-        *[F.min(F.struct(o.alias("o"), "c", "n", "s")).alias(f"l{i}") for i, o in enumerate(order)],
+        *[F.min(F.struct(o.alias("o"), *fields)).alias(f"l{i}") for i, o in enumerate(order)],
         F.count("*").alias("m"),
     )
-    bare = lambda x: F.struct(F.col(f"{x}.c").alias("c"), F.col(f"{x}.n").alias("n"), F.col(f"{x}.s").alias("s"))
     firsts = materialize(
-        firsts.filter("m > 1").select(F.col("value").alias("v"), *[bare(f"l{i}").alias(f"l{i}") for i in range(leaders)]),
-        "near-leaders",
+        firsts.filter("m > 1").select(F.col("value").alias("v"), *[f"l{i}" for i in range(leaders)]), "near-leaders"
     )
     # A class meets mostly the same leaders in its lists: gathered per class before pairs are made.
-    led = lists.join(firsts, F.col("value") == F.col("v")).groupBy("c", "n", "s").agg(
-        F.array_distinct(F.flatten(F.array(*[F.collect_set(f"l{i}") for i in range(leaders)]))).alias("ls")
+    own = {x: F.col(x) for x in fields}
+    met = lambda l: F.when((l["c"] != own["c"]) & _possible(own, l, long_k, percent), l["c"])
+    led = lists.join(firsts, F.col("value") == F.col("v")).groupBy("c").agg(
+        F.array_distinct(F.flatten(F.array(*[F.collect_set(met(F.col(f"l{i}"))) for i in range(leaders)]))).alias("ls")
     )
-    starred = led.select("c", "n", "s", F.explode(
-        F.filter("ls", lambda l: (l["c"] != F.col("c")) & _possible(F.col("n"), F.col("s"), l["n"], l["s"], long_k, percent))
-    ).alias("l"))
-    pairs = starred.select(F.least("c", "l.c").alias("a"), F.greatest("c", "l.c").alias("b"))
+    starred = led.select("c", F.explode("ls").alias("l"))
+    pairs = starred.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
     pairs = materialize(pairs.distinct(), "near-pairs")
     star_links = materialize(_confirm(_keep_likely(pairs, sketches, k, percent), sets, percent), "near-star-links")
     labels = components(star_links)
 
     # Lists whose members are in more than one component still may hide links.
     placed = lists.join(labels.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select(
-        "value", "c", "n", "s", F.coalesce("label", "c").alias("label")
+        "value", *fields, F.coalesce("label", "c").alias("label")
     )
     placed = materialize(placed, "near-placed")
     mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
@@ -210,7 +221,7 @@ def links_between(classes, rep_sets, k=SKETCH, long_k=LONG_SKETCH, percent=85, l
         (F.col("x.value") == F.col("y.value"))
         & (F.col("x.c") < F.col("y.c"))
         & (F.col("x.label") != F.col("y.label"))
-        & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s"), long_k, percent),
+        & _possible(*[{f: F.col(f"{side}.{f}") for f in fields} for side in "xy"], long_k, percent),
     ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     others = materialize(others.distinct().join(pairs, ["a", "b"], "left_anti"), "near-others")
     more = _confirm(_keep_likely(others, sketches, k, percent), sets, percent)
