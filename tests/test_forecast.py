@@ -1,4 +1,6 @@
 import datetime
+import random
+import statistics
 
 import pytest
 from conftest import START, STEP, aware, ramp, series
@@ -11,41 +13,41 @@ HOUR = datetime.timedelta(hours=1)
 
 
 def with_glitch():
-    points = ramp(100, 90.0, -1.0)
-    points[50] = (points[50][0], 30.0)
+    points = ramp(130, 83.0, -1.6)
+    points[44] = (points[44][0], 21.5)
     return points
 
 
-def refilled(n, slope, old=300):
-    points = ramp(old, 80.0, -2.0)
-    return points + ramp(n, 95.0, slope, start=points[-1][0] + STEP)
+def refilled(n, slope, old=220):
+    points = ramp(old, 61.0, -1.3)
+    return points + ramp(n, 93.0, slope, start=points[-1][0] + STEP)
 
 
-def pinned():
-    points = ramp(200, 60.0, -2.0)
-    return points + [(points[-1][0] + (i + 1) * STEP, 0.0) for i in range(100)]
+def emptied():
+    points = ramp(150, 42.0, -2.6)
+    return points + [(points[-1][0] + (i + 1) * STEP, 0.0) for i in range(70)]
 
 
 NAN = float("nan")
 # name: points in the order received
 CASES = {
-    "ok": ramp(300, 80.0, -2.0),
+    "ok": ramp(260, 71.0, -1.75),
     "glitch": with_glitch(),
-    "flat": series([50.0] * 40),
-    "drip": ramp(60, 75.0, -0.01),
-    "few": ramp(10, 80.0, -2.0),
-    "dense": ramp(120, 80.0, -2.0, step=datetime.timedelta(seconds=30)),
-    "refilled": refilled(5, -2.4),
-    "refilled-60": refilled(60, -2.0),
-    "below": series([12.0, 9.0]),
-    "pinned": pinned(),
-    "backwards": series([50.0, 40.0, 30.0])[::-1],
-    "swapped": [series([50, 49, 48])[i] for i in (1, 0, 2)],
-    "repeated": series([50.0, 49.0]) + [(START + STEP, 48.0)],
-    "nan": series([50.0, NAN, 48.0]),
-    "nan-last": series([50.0, 49.0, NAN]),
-    "long": ramp(500, 90.0, -1.0),
-    "overflow": ramp(40, 50.0, -1e-12),
+    "flat": series([64.2] * 48),
+    "drip": ramp(72, 68.0, -0.015),
+    "few": ramp(14, 77.0, -1.4),
+    "dense": ramp(150, 88.0, -3.0, step=datetime.timedelta(seconds=20)),
+    "refilled": refilled(9, -1.9),
+    "refilled-later": refilled(55, -1.9),
+    "below": series([10.8, 9.6]),
+    "emptied": emptied(),
+    "backwards": series([70.0, 65.0, 61.5, 60.0])[::-1],
+    "swapped": [series([70.0, 65.0, 61.5])[i] for i in (0, 2, 1)],
+    "repeated": series([70.0, 69.5, 69.0]) + [(START + 2 * STEP, 68.5)],
+    "nan": series([44.0, NAN, 43.0, 42.5]),
+    "nan-last": series([44.0, 43.0, NAN]),
+    "long": ramp(420, 95.0, -0.9),
+    "overflow": ramp(44, 57.0, -1e-12),
 }
 
 
@@ -88,9 +90,9 @@ def results(spark):
         ("few", fc.INSUFFICIENT_POINTS),
         ("dense", fc.INSUFFICIENT_SPAN),
         ("refilled", fc.INSUFFICIENT_POINTS),
-        ("refilled-60", fc.OK),
+        ("refilled-later", fc.OK),
         ("below", fc.AT_OR_BELOW_TARGET),
-        ("pinned", fc.AT_OR_BELOW_TARGET),
+        ("emptied", fc.AT_OR_BELOW_TARGET),
         ("backwards", fc.INVALID_SERIES),
         ("swapped", fc.INVALID_SERIES),
         ("repeated", fc.INVALID_SERIES),
@@ -112,53 +114,75 @@ def test_crossing_goes_with_status(results):
 
 
 def test_fit_values(results):
-    row = results["ok"]
-    assert row.slope_per_hour == pytest.approx(-2.0, abs=1e-9)
-    assert row.slope_low_per_hour == pytest.approx(-2.0, abs=1e-9)
-    assert row.slope_high_per_hour == pytest.approx(-2.0, abs=1e-9)
+    row, n = results["ok"], 260
+    for slope in (row.slope_per_hour, row.slope_low_per_hour, row.slope_high_per_hour):
+        assert slope == pytest.approx(-1.75, abs=1e-9)
     assert row.residual_mad == pytest.approx(0.0, abs=1e-9)
     assert row.value_at_anchor == pytest.approx(row.latest_value, abs=1e-9)
-    assert (row.fit_points, row.segment_points, row.pairs) == (300, 300, 44850)
-    assert row.fit_span_seconds == 299 * 300
-    hours = (row.latest_value - 10.0) / 2.0
+    assert (row.fit_points, row.segment_points, row.pairs) == (n, n, n * (n - 1) // 2)
+    assert row.fit_span_seconds == (n - 1) * STEP.total_seconds()
+    hours = (row.latest_value - WATER.target) / 1.75
     wait = (row.crosses_at - row.as_of).total_seconds()
     assert wait == pytest.approx(hours * 3600, abs=0.01)
-    assert abs(results["glitch"].slope_per_hour + 1.0) <= 0.05
+    assert abs(results["glitch"].slope_per_hour + 1.6) <= 0.05
     capped = results["long"]
-    assert (capped.fit_points, capped.segment_points) == (300, 500)
+    assert (capped.fit_points, capped.segment_points) == (WATER.max_fit_points, 420)
     below = results["below"]
     assert below.crosses_at == below.as_of == below.crosses_at_latest
     assert results["refilled"].slope_per_hour is None
     assert results["nan-last"].latest_value is None
 
 
+def test_slope_of_imprecise_series(spark):
+    """Bounds from the error of the samples: a pair of two errors over its distance in time."""
+    rng, n, slope = random.Random(8), 240, -1.1
+    exact = ramp(n, 78.0, slope)
+    apart = statistics.median((j - i) * STEP.total_seconds() / 3600 for i in range(n) for j in range(i + 1, n))
+    got = run(
+        spark,
+        {
+            "quantised": [(a, round(v * 2) / 2) for a, v in exact],
+            "noisy": [(a, v + rng.gauss(0, 0.4)) for a, v in exact],
+        },
+    )
+    assert abs(got["quantised"].slope_per_hour - slope) <= 0.5 / apart
+    # Standard error of a straight line through n samples, doubled for the median of pairs; four of them.
+    span = n * STEP.total_seconds() / 3600
+    assert abs(got["noisy"].slope_per_hour - slope) <= 4 * 2 * 0.4 * (12 / n) ** 0.5 / span
+    noisy = got["noisy"]
+    assert noisy.slope_low_per_hour < noisy.slope_per_hour < noisy.slope_high_per_hour
+    assert 0.1 < noisy.residual_mad < 0.6
+
+
 def test_staleness(spark):
+    """Old after half an hour, or after six gaps where a device reports less often."""
     series_ = {
-        "hourly": ramp(60, 80.0, -0.5, step=HOUR),
-        "low": series([50.0, 5.0]),
-        "dense": ramp(60, 80.0, -2.0, step=datetime.timedelta(seconds=10)),
+        "rare": ramp(48, 66.0, -0.4, step=2 * HOUR),
+        "low": series([31.0, 7.5]),
+        "quick": ramp(90, 81.0, -1.0, step=datetime.timedelta(seconds=15)),
     }
     stale = lambda **kw: {
         n for n, r in run(spark, series_, shift=datetime.timedelta(**kw)).items() if r.status == fc.STALE
     }
-    assert stale(seconds=1700) == set()
-    assert stale(seconds=1900) == {"low", "dense"}
-    assert stale(hours=7) == {"hourly", "low", "dense"}
+    assert stale(minutes=29) == set()
+    assert stale(minutes=31) == {"low", "quick"}
+    assert stale(hours=11.9) == {"low", "quick"}
+    assert stale(hours=12.1) == {"rare", "low", "quick"}
 
 
 def test_truncated(spark):
     points = CASES["ok"]
     flag = lambda start, p=points: run(spark, {"x": p}, window_start=start)["x"].truncated
-    assert flag(points[0][0] - datetime.timedelta(days=3)) is False
+    assert flag(points[0][0] - 9 * HOUR) is False
     assert flag(points[0][0] - STEP) is True
     assert flag(None) is True
-    assert flag(points[0][0] - STEP, CASES["refilled-60"]) is False
+    assert flag(points[0][0] - STEP, CASES["refilled-later"]) is False
 
 
 def test_configured_metrics(spark):
     custom = configured(water_target_pct=25.0, battery_alert_days=1)
     assert custom[1].alert_horizon_seconds == 86400.0
-    got = run(spark, {"x": series([30.0, 24.0])}, metrics=custom)["x"]
+    got = run(spark, {"x": series([27.5, 22.0])}, metrics=custom)["x"]
     assert got.status == fc.AT_OR_BELOW_TARGET and got.target_value == 25.0
     for bad in ({"water_target_pct": 101}, {"battery_target_volts": 5}, {"water_alert_days": 0}):
         with pytest.raises(ValueError):
@@ -177,7 +201,7 @@ def test_readings_path_equals_samples_path(spark):
     """The wide scan and the long samples give the same forecasts."""
     rows = [
         (d, a, v, 3.3 + v / 100)
-        for d, pts in (("a", CASES["ok"]), ("b", CASES["refilled-60"]), ("c", CASES["long"]))
+        for d, pts in (("a", CASES["ok"]), ("b", CASES["refilled-later"]), ("c", CASES["long"]))
         for a, v in pts
     ]
     wide = spark.createDataFrame(

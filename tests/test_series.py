@@ -27,21 +27,27 @@ def segments(spark, points, jump=5.0):
     return [out[k] for k in sorted(out)]
 
 
-def test_consecutive_jumps(spark):
-    got = segments(spark, values_at([50, 40, 90, 95, 90, 80]))
-    assert got == [[50.0, 40.0], [90.0], [95.0, 90.0, 80.0]]
-
-
-def test_degenerate_lengths(spark):
-    assert segments(spark, values_at([50])) == [[50.0]]
-    assert segments(spark, values_at([50, 49])) == [[50.0, 49.0]]
-
-
-@pytest.mark.parametrize("steps,sizes", [(8, [40, 40]), (5, [80])])
-def test_gap_rule(spark, steps, sizes):
-    before = ramp(40, 80.0, -1.0)
-    after = [(before[-1][0] + (steps + i) * STEP, 60.0 - i * 0.1) for i in range(40)]
-    assert [len(s) for s in segments(spark, before + after)] == sizes
+def test_segments_come_back_as_they_were_joined(spark):
+    """Falling runs joined by rises of the jump or more; smaller rises join nothing."""
+    rng = random.Random(21)
+    runs, top = [], 60.0
+    for size in (1, 1, 7, 2, 30, 1, 12):
+        run = [top]
+        for _ in range(size - 1):
+            run.append(run[-1] + (2.0 if rng.random() < 0.3 else -rng.choice([0.5, 1.25])))
+        runs.append(run)
+        top = run[-1] + rng.choice([4.0, 8.5])
+    assert segments(spark, values_at([v for run in runs for v in run]), jump=4.0) == runs
+    assert segments(spark, values_at(runs[2]), jump=4.0) == [runs[2]]
+    assert segments(spark, values_at([3.5])) == [[3.5]]
+
+
+@pytest.mark.parametrize("missing", [0, 4, 5, 6, 20])
+def test_only_a_gap_above_six_steps_splits(spark, missing):
+    first = ramp(31, 72.0, -0.6)
+    rest = ramp(17, 69.0, -0.6, start=first[-1][0] + (missing + 1) * STEP)
+    sizes = [len(s) for s in segments(spark, first + rest)]
+    assert sizes == ([31, 17] if missing + 1 > WATER.gap_factor else [48])
 
 
 def test_sliced_operators_match_plain_windows(spark):
