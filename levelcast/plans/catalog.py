@@ -29,6 +29,9 @@ START = datetime.datetime(2024, 1, 1, tzinfo=UTC)
 END = datetime.datetime(2025, 1, 1, tzinfo=UTC)
 # The first pass of two-pass queries sees the readings up to this instant.
 EARLIER = datetime.datetime(2024, 1, 20, tzinfo=UTC)
+# A report window that cuts readings off at both ends, and a time before most devices report.
+FROM, TO = datetime.datetime(2024, 1, 6, 7, 30, tzinfo=UTC), datetime.datetime(2024, 1, 19, 18, tzinfo=UTC)
+FIRST_HOURS = datetime.datetime(2024, 1, 1, 6, tzinfo=UTC)
 WALL_NOW = datetime.datetime(2024, 1, 30, 12, tzinfo=UTC)
 STAMPS = tuple(datetime.datetime(2024, 2, d, tzinfo=UTC) for d in (1, 2))
 DEVICE = "dev-7"
@@ -50,6 +53,10 @@ METRICS = (
         alert_horizon_seconds=5 * DAY,
     ),
 )
+SHORT_FIT = 12  # points
+# Constants under which caps bite, and refills are not seen as such.
+CAPPED = tuple(dataclasses.replace(m, max_fit_points=SHORT_FIT) for m in METRICS)
+UNSPLIT = tuple(dataclasses.replace(m, refill_jump=1000.0, gap_factor=1000.0) for m in METRICS)
 
 _QUERIES = {}
 
@@ -143,11 +150,11 @@ def _lagged(spark, d):
     return series.with_previous(_window_samples(spark, d), ["device_id", "kind"], "at", ["value"])
 
 
-def _forecasts(spark, d, until=None):
+def _forecasts(spark, d, until=None, metrics=METRICS):
     rows = _readings(spark, d)
     if until is not None:
         rows = rows.filter(F.col("measured_at") <= F.lit(until))
-    return forecast.forecast_readings(rows, METRICS, passes.data_now(rows))
+    return forecast.forecast_readings(rows, metrics, passes.data_now(rows))
 
 
 def _latest(spark, d):
@@ -590,7 +597,7 @@ def exact_median(spark, d):
 
 @query
 def window_checksum(spark, d):
-    return panels.window_checksum(_readings(spark, d), START, END)
+    return panels.window_checksum(_readings(spark, d), FROM, TO)
 
 
 # -- windows ------------------------------------------------------------------------
@@ -626,9 +633,8 @@ def newest_segment(spark, d):
 
 @query
 def cap_recent(spark, d):
-    """The newest samples of every series, as many as a fit may use."""
-    cap = max(m.max_fit_points for m in METRICS)
-    return series.newest_rows(_window_samples(spark, d), ["device_id", "kind"], "at", cap)
+    """The newest samples of every series, as many as a short fit may use."""
+    return series.newest_rows(_window_samples(spark, d), ["device_id", "kind"], "at", SHORT_FIT)
 
 
 @query
@@ -643,12 +649,12 @@ def gap_breaks(spark, d):
 
 @query
 def water_raw(spark, d):
-    return panels.water_raw(_readings(spark, d), START, END)
+    return panels.water_raw(_readings(spark, d), FROM, TO)
 
 
 @query
 def battery_raw(spark, d):
-    return panels.battery_raw(_readings(spark, d), START, END)
+    return panels.battery_raw(_readings(spark, d), FROM, TO)
 
 
 @query
@@ -660,12 +666,12 @@ def checkin_staleness(spark, d):
 
 @query
 def water_hourly(spark, d):
-    return _rounded(panels.water_hourly(_hourly(spark, d), START, END), "water_avg")
+    return _rounded(panels.water_hourly(_hourly(spark, d), FROM, TO), "water_avg")
 
 
 @query
 def water_hourly_envelope(spark, d):
-    return _rounded(panels.water_hourly_envelope(_hourly(spark, d), START, END), "water_avg")
+    return _rounded(panels.water_hourly_envelope(_hourly(spark, d), FROM, TO), "water_avg")
 
 
 @query
@@ -729,7 +735,7 @@ def forecast_history(spark, d):
 
 @query
 def actual_level(spark, d):
-    return panels.actual_level(_readings(spark, d), DEVICE, START, END)
+    return panels.actual_level(_readings(spark, d), DEVICE, FROM, TO)
 
 
 @query
@@ -766,7 +772,7 @@ def checkin_health(spark, d):
 def window_counts(spark, d):
     valid = _parsed_valid(spark, d)
     accepted = arrivals.first_arrivals(valid)
-    return panels.window_counts(accepted, arrivals.dedupe_events(valid, accepted), START, END)
+    return panels.window_counts(accepted, arrivals.dedupe_events(valid, accepted), FROM, TO)
 
 
 # -- forecasting --------------------------------------------------------------------
@@ -870,7 +876,8 @@ def status_mix(spark, d):
 
 @query
 def truncated_fits(spark, d):
-    return _forecasts(spark, d).select(
+    """Fits that may use few points: most segments are longer."""
+    return _forecasts(spark, d, metrics=CAPPED).select(
         "device_id", "kind", "truncated", "segment_points", "fit_points", "fit_span_seconds"
     )
 
@@ -910,14 +917,14 @@ def pass_stats(spark, d):
 
 @query
 def segmenter_signals(spark, d):
-    """Water series whose newest segment does not deplete (none expected here)."""
-    return forecast.segmenter_signals(_forecasts(spark, d))
+    """Water series that do not deplete, where refills are not split off."""
+    return forecast.segmenter_signals(_forecasts(spark, d, metrics=UNSPLIT))
 
 
 @query
 def no_data_forecasts(spark, d):
     """Devices of the registry without a sample in a metric's lookback."""
-    return forecast.no_data(_devices(spark, d), METRICS, _forecasts(spark, d, until=EARLIER))
+    return forecast.no_data(_devices(spark, d), METRICS, _forecasts(spark, d, until=FIRST_HOURS))
 
 
 @query

@@ -10,6 +10,8 @@ from levelcast.plans import catalog
 from levelcast.sources.events import EPOCH_US, HOUR_US
 
 _EARLIER = "TIMESTAMP '2024-01-20 00:00:00'"
+_FIRST_HOURS = "TIMESTAMP '2024-01-01 06:00:00'"
+_WINDOW = "BETWEEN TIMESTAMP '2024-01-06 07:30:00' AND TIMESTAMP '2024-01-19 18:00:00'"
 _STAMPS = ("TIMESTAMP '2024-02-01 00:00:00'", "TIMESTAMP '2024-02-02 00:00:00'")
 _ROOT = f"{wire.TOPIC_ROOT}/{wire.TOPIC_VERSION}"
 
@@ -122,9 +124,9 @@ def _rollup(unit, source="readings"):
 _HOURLY = f"hourly AS ({_rollup('hour')})"
 
 
-def _metric_rows():
+def _metric_rows(metrics):
     rows = []
-    for m in catalog.METRICS:
+    for m in metrics:
         numbers = (
             m.target,
             m.refill_jump,
@@ -142,12 +144,16 @@ def _metric_rows():
     return ", ".join(rows)
 
 
-_METRICS = f"""
+def _metrics(metrics):
+    return f"""
 metrics(kind, noun, target, refill_jump, min_points, min_span, max_fit_points, lookback,
-        gap_factor, stale_after, max_horizon, alert_horizon) AS (VALUES {_metric_rows()})
+        gap_factor, stale_after, max_horizon, alert_horizon) AS (VALUES {_metric_rows(metrics)})
 """
 
 
+_METRICS = _metrics(catalog.METRICS)
+
+
 def _median(sorted_list):
     return (
         f"(({sorted_list})[(len({sorted_list}) + 1) // 2] + ({sorted_list})[len({sorted_list}) // 2 + 1]) / 2"
@@ -529,7 +535,8 @@ def oracle_sql():
           md5(count(*)::VARCHAR || '|' || sum({hex15.format(1)})::VARCHAR || '|'
               || sum({hex15.format(16)})::VARCHAR) AS checksum
           FROM (SELECT md5(concat_ws('|', device_id, epoch_us(measured_at)::VARCHAR,
-                 water_level::VARCHAR, battery_voltage::VARCHAR)) AS h FROM readings)""",
+                 water_level::VARCHAR, battery_voltage::VARCHAR)) AS h FROM readings
+                WHERE measured_at {_WINDOW})""",
         # windows
         "out_of_order_arrivals": base
         + """SELECT count(*) AS out_of_order FROM (
@@ -546,24 +553,28 @@ def oracle_sql():
         "segment_split": windowed + 'SELECT device_id, kind, "at", value, segment_id FROM segmented',
         "newest_segment": windowed + 'SELECT device_id, kind, "at", value, segment_id FROM newest',
         "cap_recent": windowed
-        + """SELECT device_id, kind, "at", value FROM (SELECT *, row_number() OVER (
-          PARTITION BY device_id, kind ORDER BY "at" DESC) AS back FROM samples) WHERE back <= 300""",
+        + f"""SELECT device_id, kind, "at", value FROM (SELECT *, row_number() OVER (
+          PARTITION BY device_id, kind ORDER BY "at" DESC) AS back FROM samples)
+          WHERE back <= {catalog.SHORT_FIT}""",
         "gap_breaks": base
         + """SELECT device_id, measured_at, gap AS gap_seconds,
           coalesce(gap > 450, false) AS starts_new_line FROM (
             SELECT *, (epoch_us(measured_at) - lag(epoch_us(measured_at)) OVER (
               PARTITION BY device_id ORDER BY measured_at)) / 1e6 AS gap FROM readings)""",
         # reports
-        "water_raw": base + "SELECT measured_at AS time, device_id, water_level FROM readings",
-        "battery_raw": base + "SELECT measured_at AS time, device_id, battery_voltage FROM readings",
+        "water_raw": base
+        + f"SELECT measured_at AS time, device_id, water_level FROM readings WHERE measured_at {_WINDOW}",
+        "battery_raw": base
+        + f"SELECT measured_at AS time, device_id, battery_voltage FROM readings WHERE measured_at {_WINDOW}",
         "checkin_staleness": fleet
         + f""", behind AS (SELECT device_id, round(((epoch_us((SELECT max(measured_at) FROM readings))
             - epoch_us(last_seen))::DECIMAL(38,6) / 1000000)::DECIMAL(38,6))::BIGINT AS behind_seconds
           FROM devices)
           SELECT *, {band.format(staleness.format('behind_seconds'))} AS band FROM behind""",
-        "water_hourly": hourly + "SELECT bucket AS time, device_id, water_avg FROM hourly",
+        "water_hourly": hourly
+        + f"SELECT bucket AS time, device_id, water_avg FROM hourly WHERE bucket {_WINDOW}",
         "water_hourly_envelope": hourly
-        + "SELECT bucket AS time, device_id, water_avg, water_min, water_max FROM hourly",
+        + f"SELECT bucket AS time, device_id, water_avg, water_min, water_max FROM hourly WHERE bucket {_WINDOW}",
         "dead_letter_total": wired + "SELECT count(*) AS dead_lettered FROM dead",
         "dead_letter_rate": wired
         + f""", clock AS (SELECT TIMESTAMP '2024-01-15 12:00:00' AS now),
@@ -605,7 +616,7 @@ def oracle_sql():
             AND status IN ('ok', 'at_or_below_target')""",
         "actual_level": base
         + f"""SELECT measured_at AS time, 'water level' AS metric, water_level AS value
-          FROM readings WHERE device_id = '{catalog.DEVICE}'""",
+          FROM readings WHERE device_id = '{catalog.DEVICE}' AND measured_at {_WINDOW}""",
         "forecast_detail": latest
         + f"""SELECT device_id, kind, status, {_half_up('latest_value', 2)} AS latest,
           {_half_up('target_value', 2)} AS target,
@@ -633,8 +644,8 @@ def oracle_sql():
           AND bucket < (SELECT date_trunc('hour', max(measured_at)) FROM readings)
           ORDER BY bucket DESC, device_id LIMIT 20""",
         "window_counts": wired
-        + """SELECT (SELECT count(*) FROM accepted) AS readings,
-          (SELECT count(*) FROM dedupes) AS dedupe_events""",
+        + f"""SELECT (SELECT count(*) FROM accepted WHERE measured_at {_WINDOW}) AS readings,
+          (SELECT count(*) FROM dedupes WHERE measured_at {_WINDOW}) AS dedupe_events""",
         # forecasting
         "metric_window": windowed + 'SELECT device_id, kind, "at", value FROM samples',
         "series_valid": """WITH s AS (
@@ -663,7 +674,7 @@ def oracle_sql():
         + "SELECT device_id, kind, as_of, status, latest_value FROM forecasts",
         "status_mix": forecasts
         + "SELECT kind, status, count(*) AS series FROM forecasts GROUP BY 1, 2",
-        "truncated_fits": forecasts
+        "truncated_fits": _with(_BASE, _metrics(catalog.CAPPED), _forecasts())
         + """SELECT device_id, kind, truncated, segment_points, fit_points, fit_span_seconds
           FROM forecasts""",
         "forecast_pass": forecasts
@@ -677,10 +688,10 @@ def oracle_sql():
           (SELECT count(*) FROM decided_alerts WHERE transition = 'cleared') AS cleared,
           (SELECT count(*) FROM forecasts WHERE kind = 'water' AND status = 'not_depleting')
             AS signals""",
-        "segmenter_signals": forecasts
+        "segmenter_signals": _with(_BASE, _metrics(catalog.UNSPLIT), _forecasts())
         + """SELECT device_id, kind, as_of, slope_per_hour FROM forecasts
           WHERE kind = 'water' AND status = 'not_depleting'""",
-        "no_data_forecasts": _with(_BASE, _DEVICES, _METRICS, _samples("a_", _EARLIER))
+        "no_data_forecasts": _with(_BASE, _DEVICES, _METRICS, _samples("a_", _FIRST_HOURS))
         + f"""SELECT d.device_id, k.kind, 'no_data' AS status, m.target AS target_value
           FROM devices d, (VALUES {kinds}) k(kind) JOIN metrics m ON m.kind = k.kind
           WHERE NOT EXISTS (SELECT 1 FROM a_samples s
