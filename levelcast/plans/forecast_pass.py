@@ -15,13 +15,14 @@ from levelcast.operators.series import lookback_cutoff
 FORECAST_KEYS = ["device_id", "kind", "as_of"]
 
 
-def forecast_pass(tables, pass_id, metrics=METRICS, since=None, computed_at=None, **rule):
+def forecast_pass(tables, pass_id, metrics=METRICS, since=None, computed_at=None, fold_every=100, **rule):
     """Watermark, window, forecasts, status-gated upsert, alert decisions.
 
     Returns a dict: data_now (None on empty tables), skipped, and the counts of
     devices forecast, forecasts written, alerts fired and cleared, and segmenter
     signals. `since` is the watermark an earlier pass returned; an unmoved fleet
-    does no work. `computed_at` stamps the rows (wall clock, for ops only).
+    does no work. `computed_at` stamps the rows (wall clock, for ops only). Logs of
+    more than `fold_every` passes are folded first.
     """
     spark = tables.spark
     require_columns(metrics, schemas.TELEMETRY.fieldNames())
@@ -33,6 +34,7 @@ def forecast_pass(tables, pass_id, metrics=METRICS, since=None, computed_at=None
         return result
     if since is not None and data_now <= since:
         return {**result, "skipped": True}
+    tables.tidy(fold_every, without=pass_id)
     stamp = F.lit(computed_at or datetime.datetime.now(datetime.timezone.utc))
     longest = max(m.lookback_seconds for m in metrics)
     cutoff = data_now - datetime.timedelta(seconds=longest)
@@ -66,6 +68,7 @@ def forecast_pass(tables, pass_id, metrics=METRICS, since=None, computed_at=None
         tables.log("forecasts").filter(F.col("batch") == pass_id),
         tables.log("alert_events").filter(F.col("batch") == pass_id),
     ).first()
+    tables.delete(staged_at)
     return {**result, **stats.asDict()}
 
 

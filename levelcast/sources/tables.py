@@ -48,6 +48,10 @@ class Tables:
         fs, hpath = self._fs(path)
         return fs.exists(hpath)
 
+    def delete(self, path):
+        fs, hpath = self._fs(path)
+        fs.delete(hpath, True)
+
     def mark(self, path):
         """Create an empty marker file."""
         fs, hpath = self._fs(path)
@@ -135,6 +139,25 @@ class Tables:
         )
         self.mark(self.path(name, following, _READY))
 
+    def tidy(self, limit, without=None):
+        """Fold every log of more than `limit` batches; generations before the last two go.
+
+        `without` names the batch being written: an earlier try of it is left out,
+        it is written again. A folded batch is no longer known by its name, so only
+        the newest batch may be tried again, which is what a stream does.
+        """
+        current = {"devices": self.devices, "forecasts": self.forecasts}
+        for name in LOGS:
+            batches = [c for c in self.children(self._log_path(name)) if c.startswith("batch=")]
+            if len(batches) <= limit:
+                continue
+            rows = current[name](without) if name in current else self.log(name, without).drop("batch")
+            self.fold(name, rows)
+            newest = self._generation(name)
+            for child in self.children(self.path(name)):
+                if child.startswith("gen=") and int(child.split("=")[1]) < newest - 1:
+                    self.delete(self.path(name, child))
+
     # -- current rows --------------------------------------------------------------
 
     def devices(self, without=None):

@@ -17,15 +17,13 @@ def start_ingest(
     """Ingest a message stream; optionally keep rollups of `units` up to date.
 
     `now` (a function without arguments) gives the time the rollup policies
-    count from; the fleet watermark is used when it is not given. The registry
-    log is folded to one row per device every `fold_every` batches.
+    count from; the fleet watermark is used when it is not given. A log of more
+    than `fold_every` batches is folded into one.
     """
 
     def apply(batch, epoch):
         label = f"{name}-{epoch:012d}"
-        if epoch and epoch % fold_every == 0:
-            # Without rows of an earlier try of this batch, which writes them again.
-            tables.fold("devices", tables.devices(without=label))
+        tables.tidy(fold_every, without=label)
         ingest_batch(tables, batch, label)
         for unit in units:
             refresh_touched(tables, unit, label, now, batch)

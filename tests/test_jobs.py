@@ -218,6 +218,21 @@ def test_rollup_values_and_refresh(spark, tables):
     ).isEmpty()
 
 
+def test_logs_stay_short(spark, tables):
+    """Many batches leave few directories, and every row; a retry of the newest one counts once."""
+    for k in range(14):
+        label = f"b-{k:03d}"
+        for _ in range(2 if k % 6 == 0 else 1):
+            tables.tidy(4, without=label)
+            ingest_batch(tables, batch_of(spark, [message("p", START + k * MINUTE, seq=k), ("x", bytearray(b""), START, k)]), label)
+    for name, rows in (("dead_letter", 14), ("ingest_stats", 14), ("devices", 1)):
+        generations = tables.children(tables.path(name))
+        assert len(generations) <= 2 and all(len(tables.children(tables.path(name, g))) <= 7 for g in generations)
+        assert tables.log(name).count() >= rows
+    assert tables.log("dead_letter").count() == 14 and tables.telemetry().count() == 14
+    assert tables.log("ingest_stats").agg(F.sum("ingested"), F.sum("dead_lettered")).first()[:] == (14, 14)
+
+
 def test_compaction_keeps_every_reading(spark, tables, tmp_path):
     points = ramp(2000, 90.0, -0.1, step=datetime.timedelta(minutes=20))
     load(tables, rows_for("a", points[::2]))
