@@ -74,7 +74,8 @@ def repeated_chunks(docs, window=WINDOW, divisor=DIVISOR):
     )
     originals = repeated.filter(F.col("place") == F.col("first")).select(
         F.col("digest").alias("o_digest"), F.col("body").alias("original")
-    ).dropDuplicates(["o_digest"])
+    )
+    originals = materialize(originals.dropDuplicates(["o_digest"]), "chunk-originals")
     later = repeated.filter(F.col("place") != F.col("first"))
     same = later.join(originals, (F.col("digest") == F.col("o_digest"))).filter(F.col("body") == F.col("original"))
     return same.select("place.doc_id", "place.text_hash", "place.chunk")
