@@ -15,6 +15,7 @@ from levelcast import schemas
 from levelcast.functions.timecols import utc
 from levelcast.operators.arrivals import merge_registry
 from levelcast.operators.merge import latest_per_key, with_outcomes
+from levelcast.session import written
 
 _READY = "_ready"
 
@@ -215,26 +216,76 @@ def write_day_partitioned(readings, path):
     )
 
 
-def age_out_compaction(spark, path, now, staging, older_than_days=7):
-    """Rewrite days older than the limit, clustered by device, newest reading first.
+# Below the table; readers skip folders whose name starts with an underscore.
+COMPACTED = "_compacted"
+ROWS_PER_FILE = 2_000_000
+
+
+def _files(spark, path, limit):
+    """(measured_date, file) of all days before `limit`; no column is read."""
+    rows = spark.read.parquet(path).filter(F.col("measured_date") < limit)
+    return rows.select("measured_date", F.col("_metadata.file_name").alias("file")).distinct()
 
-    The days are staged first and then replace their partitions, so no path is
-    overwritten while it is read and a full copy exists throughout. Must not run
-    while old days are being appended to. Returns the rewritten rows.
+
+def stage_open_days(spark, path, now, staging, older_than_days=7):
+    """Stage old days that hold a file no compaction has written; clustered, newest reading first.
+
+    Returns the staged rows and the files they were read from.
     """
     limit = F.date_sub(F.to_date(F.lit(now)), older_than_days)
-    old = spark.read.parquet(path).filter(F.col("measured_date") < limit)
-    clustered = (
-        old.repartitionByRange("measured_date", "device_id", "measured_at")
-        .sortWithinPartitions("measured_date", "device_id", F.col("measured_at").desc())
-    )
-    clustered.write.mode("overwrite").partitionBy("measured_date").parquet(staging)
-    staged = spark.read.schema(old.schema).parquet(staging)
+    tables, known = Tables(spark, path), f"{path}/{COMPACTED}"
+    files = written(_files(spark, path, limit), f"{staging}/files")
+    new = files
+    if tables.exists(known):
+        new = files.join(spark.read.schema(files.schema).parquet(known), ["measured_date", "file"], "left_anti")
+    days = new.select("measured_date").distinct()
+    seen = written(files.join(days, "measured_date", "left_semi"), f"{staging}/seen")
+    old = spark.read.parquet(path).withColumn("_file", F.col("_metadata.file_name"))
+    old = old.filter(F.col("measured_date") < limit).join(
+        seen.withColumnRenamed("file", "_file"), ["measured_date", "_file"], "left_semi"
+    ).drop("_file")
+    parts = max(1, -(-old.count() // ROWS_PER_FILE))
+    clustered = old.repartitionByRange(parts, "measured_date", "device_id", "measured_at")
+    clustered.write.mode("overwrite").partitionBy("measured_date").parquet(f"{staging}/rows")
+    return spark.read.schema(old.schema).parquet(f"{staging}/rows"), seen
+
+
+def swap_unchanged(spark, path, staged, seen, staging):
+    """Put staged days in place of the days they came from, unless those have got a file since.
+
+    Such a day is left for the next run. Returns the rows put in place.
+    """
+    newest = seen.agg(F.max("measured_date")).first()[0]
+    if newest is None:
+        return staged.limit(0)
+    present = _files(spark, path, F.date_add(F.lit(newest), 1))
+    added = present.join(seen, ["measured_date", "file"], "left_anti")
+    added = added.join(seen.select("measured_date").distinct(), "measured_date", "left_semi")
+    # Written: after the swap the files it was found from are gone.
+    added = written(added.select("measured_date").distinct(), f"{staging}/added")
+    rows = staged.join(added, "measured_date", "left_anti").select(*staged.columns)
     (
-        staged.sortWithinPartitions("measured_date", "device_id", F.col("measured_at").desc())
+        rows.sortWithinPartitions("measured_date", "device_id", F.col("measured_at").desc())
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("measured_date")
         .parquet(path)
     )
-    return staged
+    after = _files(spark, path, F.date_add(F.lit(newest), 1))
+    after = after.join(seen.select("measured_date").distinct(), "measured_date", "left_semi")
+    fresh = after.join(seen, ["measured_date", "file"], "left_anti").join(added, "measured_date", "left_anti")
+    fresh.select("measured_date", "file").write.mode("append").parquet(f"{path}/{COMPACTED}")
+    return rows
+
+
+def age_out_compaction(spark, path, now, staging, older_than_days=7):
+    """Rewrite days older than the limit, clustered by device, newest reading first.
+
+    Only days with a file that no earlier run has written are touched, so a run
+    with nothing new rewrites nothing and a late append re-opens its own day. The
+    days are staged first and then replace their partitions; a day that is
+    appended to in between waits for the next run. An append during the swap of
+    its own day itself must be kept out by the caller. Returns the rewritten rows.
+    """
+    staged, seen = stage_open_days(spark, path, now, staging, older_than_days)
+    return swap_unchanged(spark, path, staged, seen, staging)

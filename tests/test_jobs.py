@@ -15,7 +15,7 @@ from levelcast.plans.forecast_pass import deliver, forecast_pass
 from levelcast.plans.ingest import ingest_batch, replay_window
 from levelcast.plans.rollup_tables import RollupTable
 from levelcast.sources import captures, messages
-from levelcast.sources.tables import age_out_compaction
+from levelcast.sources.tables import age_out_compaction, stage_open_days, swap_unchanged
 from levelcast.streaming.jobs import start_ingest
 
 MINUTE = datetime.timedelta(minutes=1)
@@ -238,9 +238,28 @@ def test_compaction_keeps_every_reading(spark, tables, tmp_path):
     load(tables, rows_for("a", points[::2]))
     load(tables, rows_for("b", points[1::2]), "l2")
     before = content(tables)
-    age_out_compaction(spark, tables.path("telemetry"), points[-1][0], str(tmp_path / "stage"))
-    assert content(tables) == before
-    assert tables.data_now() == points[-1][0]
+    path, now = tables.path("telemetry"), points[-1][0]
+    run = lambda k: age_out_compaction(spark, path, now, str(tmp_path / f"stage{k}")).count()
+    old = tables.telemetry().filter(F.col("measured_date") < F.date_sub(F.to_date(F.lit(now)), 7)).count()
+    assert run(1) == old > 0
+    assert content(tables) == before and tables.data_now() == now
+    files = {}
+    shown = tables.telemetry().select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i"))
+    for r in shown.filter(F.col("measured_date") < F.date_sub(F.to_date(F.lit(now)), 7)).orderBy("i").collect():
+        files.setdefault((r.measured_date, r.f), []).append((r.device_id, -r.measured_at.timestamp()))
+    assert all(rows == sorted(rows) for rows in files.values())
+    assert len({d for d, _ in files}) == len(files)
+    assert run(2) == 0
+
+    # A late reading re-opens its own day; one that comes beside a run makes the day wait.
+    load(tables, [("c", START + 5 * MINUTE, 50.0, 3.9)], "late")
+    staged, seen = stage_open_days(spark, path, now, str(tmp_path / "stage3"))
+    assert {r.measured_date for r in seen.collect()} == {START.date()} and staged.count() > 1
+    load(tables, [("d", START + 6 * MINUTE, 50.0, 3.9)], "later")
+    assert swap_unchanged(spark, path, staged, seen, str(tmp_path / "stage3")).count() == 0
+    assert len(content(tables)) == len(before) + 2
+    assert run(4) == tables.telemetry().filter(F.col("measured_date") == F.lit(START.date())).count()
+    assert len(content(tables)) == len(before) + 2 and run(5) == 0
 
 
 def test_streaming_ingest_matches_batch(spark, tables, tmp_path):
