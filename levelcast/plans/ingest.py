@@ -8,12 +8,13 @@ from levelcast.session import scratch_tables
 from levelcast.sources import captures
 
 
-def ingest_batch(tables, messages, batch):
+def ingest_batch(tables, messages, batch, after=None):
     """Classify one batch of messages and bring every state table up to date.
 
     The registry goes first, so no reading exists without its device. A retry
     under the same batch name sees the tables as they were before its first try:
     logs replace the batch's own rows and own telemetry rows are set apart.
+    `after` is called with the batch's readings once they are stored.
     """
     with scratch_tables(tables.spark, "ingest") as write:
         # The payload is parsed once; only dead letters still need it.
@@ -36,6 +37,8 @@ def ingest_batch(tables, messages, batch):
         tables.append_telemetry(
             missing.drop("arrival_seq").withColumn("batch_id", F.lit(batch))
         )
+        if after is not None:
+            after(accepted)
     return tables.log("ingest_stats").filter(F.col("batch") == batch).drop("batch")
 
 

@@ -4,9 +4,6 @@ State lives in the tables, not in the query: duplicates are absorbed over all of
 history and late readings of any age are stored, so no watermark bounds them.
 """
 
-from pyspark.sql import functions as F
-
-from levelcast.operators.classify import classify, readings_of
 from levelcast.plans.ingest import ingest_batch
 from levelcast.plans.rollup_tables import RollupTable
 
@@ -24,28 +21,16 @@ def start_ingest(
     def apply(batch, epoch):
         label = f"{name}-{epoch:012d}"
         tables.tidy(fold_every, without=label)
-        ingest_batch(tables, batch, label)
-        for unit in units:
-            refresh_touched(tables, unit, label, now, batch)
+
+        def refresh(accepted):
+            clock = now() if now is not None else tables.data_now()
+            for unit in units:
+                if clock is not None:
+                    # The policy window, and the buckets the batch's own readings fall into.
+                    RollupTable(tables, unit).refresh(clock, touched=accepted)
+
+        ingest_batch(tables, batch, label, after=refresh)
 
     writer = messages.writeStream.queryName(name).foreachBatch(apply)
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def refresh_touched(tables, unit, label, now=None, messages=None):
-    """Refresh one rollup after a batch: its policy window plus the buckets the
-    batch's own readings fall into.
-
-    Only the days of the batch's messages are looked at for its stored readings;
-    without messages, all of the table is.
-    """
-    arrived = tables.telemetry().filter(F.col("batch_id") == label)
-    if messages is not None:
-        days = readings_of(classify(messages)).select(F.to_date("measured_at").alias("measured_date"))
-        first, last = days.agg(F.min("measured_date"), F.max("measured_date")).first()
-        arrived = arrived.filter(F.col("measured_date").between(F.lit(first), F.lit(last)))
-        arrived = arrived.join(days.distinct(), "measured_date", "left_semi")
-    clock = now() if now is not None else tables.data_now()
-    if clock is not None:
-        RollupTable(tables, unit).refresh(clock, touched=arrived)
