@@ -109,8 +109,3 @@ def constant(metrics, field, kind="kind"):
         condition = F.col(kind) == metric.kind
         expr = F.when(condition, value) if expr is None else expr.when(condition, value)
     return expr
-
-
-def dimension(spark, metrics=METRICS):
-    """The metrics as a table, one row per kind."""
-    return spark.createDataFrame([dataclasses.asdict(m) for m in metrics])

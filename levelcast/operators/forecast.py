@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Window, functions as F, types as T
 
 from levelcast.functions.numbers import is_finite
-from levelcast.functions.timecols import MICROS, crossing_time, minus_seconds, seconds_between
+from levelcast.functions.timecols import MICROS, crossing_time, seconds_between
 from levelcast.metrics import METRICS, constant, require_columns
 from levelcast.operators import series
 

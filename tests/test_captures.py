@@ -3,7 +3,6 @@ import json
 
 import pytest
 from conftest import START, aware
-from pyspark.sql import functions as F
 
 from levelcast.sources import captures
 

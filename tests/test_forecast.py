@@ -3,7 +3,7 @@ import random
 import statistics
 
 import pytest
-from conftest import START, STEP, aware, ramp, series
+from conftest import START, STEP, ramp, series
 
 from levelcast.metrics import METRICS, WATER, configured
 from levelcast.operators import forecast as fc
