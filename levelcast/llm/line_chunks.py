@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines, and by whole repeated passages."""
 
 from pyspark.sql import functions as F
 
@@ -111,3 +111,68 @@ def dedup_lines(docs, window=WINDOW, divisor=DIVISOR):
         (F.size("lines") - F.size("kept")).cast("bigint").alias("n_removed_lines"),
         F.size("gone").cast("bigint").alias("n_removed_chunks"),
     )
+
+
+def line_pairs(docs):
+    """(doc_id, text_hash, start, end, digest) of every two neighbouring lines with a word.
+
+    A pair reaches from its first line to its second, over lines without a word
+    between them; SHA-256 of that stretch stands for its bytes.
+    """
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    step = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
+    step = compute_once(step, worded=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(WORD)))
+    ends = F.slice("worded", 2, F.greatest(F.size("worded") - 1, F.lit(0)))
+    step = step.select("doc_id", "text_hash", "lines", F.inline(F.arrays_zip(F.col("worded").alias("start"), ends.alias("end"))))
+    body = F.array_join(F.slice("lines", F.col("start") + 1, F.col("end") - F.col("start") + 1), "\n")
+    step = step.filter(F.col("end").isNotNull())
+    return step.select("doc_id", "text_hash", "start", "end", F.unhex(F.sha2(body, 256)).alias("digest"))
+
+
+def repeated_pairs(docs):
+    """(doc_id, text_hash, start, end) of every later occurrence of a pair of lines.
+
+    Only digests and places are shuffled. The places of a hot pair are joined to one
+    row, which leaves the join free to split them.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "start", "end")
+    places = materialize(line_pairs(docs).select("digest", place.alias("place")), "pair-places")
+    first = places.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    first = materialize(
+        first.filter("first <> last").select(F.col("digest").alias("f_digest"), "first"), "pair-firsts"
+    )
+    later = places.join(first, F.col("digest") == F.col("f_digest")).filter("place <> first")
+    return later.select("place.doc_id", "place.text_hash", "place.start", "place.end")
+
+
+def dedup_passages(docs):
+    """Remove every passage of two lines or more that stands earlier in the corpus, edges included.
+
+    All pairs of neighbouring lines are compared, so no cut has to fall on the edge
+    of a passage: a run of lines that repeats is covered by repeated pairs. The first
+    place of a pair, by doc_id (NULL last), text hash and position, stays, and so
+    does the first place of every line. Lines without a word neither make nor break a
+    passage; a repeated line between lines of its own stays.
+
+    Returns doc_id, clean_text, n_lines, n_removed_lines, one row per input row, with
+    NULL and empty texts, equal rows and extra columns as in dedup_lines.
+    """
+    gone = repeated_pairs(docs).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("pairs"))
+    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "pairs")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    joined = texts.join(
+        gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left"
+    )
+    covered = F.array_distinct(F.flatten(F.transform("pairs", lambda p: F.sequence(p["start"], p["end"]))))
+    step = compute_once(
+        joined.select("doc_id", "text", "pairs"), lines=F.split(F.coalesce("text", F.lit("")), "\n"), covered=covered
+    )
+    at = F.sequence(F.lit(0), F.size("lines") - 1)
+    left = F.array_sort(F.array_except(at, F.coalesce("covered", F.array().cast("array<int>"))))
+    step = compute_once(step, kept=F.transform(left, lambda i: F.get("lines", i)))
+    return step.select(
+        "doc_id",
+        F.array_join("kept", "\n").alias("clean_text"),
+        F.size("lines").cast("bigint").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("bigint").alias("n_removed_lines"),
+    )

@@ -89,6 +89,11 @@ def op8_line_chunks(spark, sf_dir):
     )
 
 
+def op8_line_passages(spark, sf_dir):
+    cleaned = line_chunks.dedup_passages(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_removed_lines", F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
 def op9_curriculum_mix(spark, sf_dir):
     return mixing.plan_mix(documents(spark, sf_dir))
 
@@ -107,6 +112,7 @@ def queries():
         op6_bottom_k,
         op7_lookup_shards,
         op8_line_chunks,
+        op8_line_passages,
         op9_curriculum_mix,
         op10_license_scan,
     )

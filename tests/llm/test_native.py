@@ -135,6 +135,53 @@ def test_line_chunks_awkward_rows(spark):
     assert line_chunks.dedup_lines(docs.limit(0)).count() == 0
 
 
+def brute_passages(rows):
+    """Lines of a run of two or more worded lines that stands earlier, by comparing all runs line by line."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        worded = [k for k, x in enumerate(lines) if words(x)]
+        runs = [(a, b) for k, a in enumerate(worded) for b in worded[k + 1 :]]
+        gone = set()
+        for a, b in sorted(runs, key=lambda r: (r[0], r[1])):
+            run = tuple(lines[a : b + 1])
+            if run in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(run)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_passages_go_whole(spark):
+    shared = {n: [f"Passage {n} line {i} that many documents quote." for i in range(n)] for n in (2, 3, 4, 12)}
+    rows = []
+    for i in range(40):
+        own = [f"Line {k} of document {i}." for k in range(6)]
+        n = (2, 3, 4, 12)[i % 4]
+        gap = ["", " "] if i in (20, 24) else []
+        rows.append((i, "\n".join(own[: i % 5] + shared[n][:1] + gap + shared[n][1:] + own[i % 5 :] + (shared[2] if i == 3 else []))))
+    rows += [(50, "own a\nPassage 3 line 1 that many documents quote.\nown b"), (51, "x\nx\nx\nx"), (52, "\n\n\n")]
+    got = {r["doc_id"]: r for r in line_chunks.dedup_passages(docs_of(spark, rows, True)).collect()}
+    assert {i: r["clean_text"] for i, r in got.items()} == brute_passages(rows)
+    for i in range(4, 40):
+        if i not in (20, 24):
+            assert got[i]["clean_text"] == "\n".join(f"Line {k} of document {i}." for k in range(6))
+    assert got[50]["n_removed_lines"] == 0 and got[51]["clean_text"] == "x" and got[52]["n_lines"] == 4
+    assert any("Passage" in r["clean_text"] for r in line_chunks.dedup_lines(docs_of(spark, rows[4:20])).collect() if r["doc_id"] > 8)
+
+
+def test_line_passages_awkward_rows(spark):
+    docs = awkward(spark)
+    got = line_chunks.dedup_passages(docs).collect()
+    assert len(got) == docs.count()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["clean_text"])
+    assert by[1] == [""] and by[2] == [""] and by[3] == [" \n\t\n "] and by[7] == [prose(99, 30_000, 5000)]
+    assert by[5] == [prose(3, 80)] * 2 and by[6] == [""]
+    assert line_chunks.dedup_passages(docs.limit(0)).count() == 0
+
+
 def water_fill(sizes, weights, cap=3):
     """Targets by taking off the sources above their cap until there is none."""
     left, open_ = float(sum(sizes)), set(range(len(sizes)))
