@@ -1,4 +1,4 @@
-"""Toxicity by the nearest labelled texts: exact TF-IDF cosine over a block-max index."""
+"""Toxicity by the nearest labelled texts: exact TF-IDF cosine over all terms of a bounded sample."""
 
 import math
 import re
@@ -15,108 +15,109 @@ TOKEN = re.compile(r"[^\W_]+")
 STEMS = (4, 5, 6)  # word beginnings that count as terms besides the word
 MIN_DF = 4
 MIN_CHI2 = 30.0
-MAX_TERMS = 2000
-BLOCK = 64
+FULL_CHI2 = 120.0  # chi-square from which a term has the whole boost
+BOOST = 20.0  # most that label strength can multiply the weight of a term by
 NEIGHBOURS = 15
 PER_CLASS = 2500
 MAX_BYTES = 24_000_000
 
 
-def terms(text, vocabulary=None):
-    """Counts of words and of word beginnings; of the vocabulary only, if one is given."""
-    words = Counter(TOKEN.findall(text.lower()))
-    counts = Counter()
-    for word, n in words.items():
-        for term in (word, *[f"{word[:k]}-" for k in STEMS if len(word) > k]):
-            if vocabulary is None or term in vocabulary:
-                counts[term] += n
+def terms(text):
+    """Counts of words and of word beginnings."""
+    counts = Counter(TOKEN.findall(text.lower()))
+    beginnings = {}
+    for word, n in counts.items():
+        size = len(word)
+        for k in STEMS:
+            if size <= k:
+                break
+            term = word[:k] + "-"
+            beginnings[term] = beginnings.get(term, 0) + n
+    counts.update(beginnings)  # no word holds a hyphen
     return counts
 
 
-def choose_terms(bags, ys, weights):
-    """Terms whose presence goes with the label: chi-square over weighted documents, in order of strength."""
-    held, toxic = Counter(), Counter()
-    raw = Counter()
-    total, total_toxic = float(sum(weights)), float(sum(w for w, y in zip(weights, ys) if y))
-    for bag, y, w in zip(bags, ys, weights):
-        for term in bag:
-            raw[term] += 1
-            held[term] += w
-            if y:
-                toxic[term] += w
-    scored = []
-    for term, df in raw.items():
-        a, n = toxic[term], held[term]
-        expected = n * total_toxic / total
-        spread = expected * (1 - total_toxic / total) * (1 - n / total) + 1e-9
-        chi2 = (a - expected) ** 2 / spread
-        if df >= MIN_DF and chi2 >= MIN_CHI2:
-            scored.append((-chi2, term))
-    return [term for _, term in sorted(scored)[:MAX_TERMS]]
+def strengths(bags, ys, weights):
+    """Factor of every term: above 1 where its presence goes with the label, by chi-square over weighted documents.
+
+    No term is left out. Terms of less than MIN_CHI2 or MIN_DF have the factor 1.
+    """
+    numbers, rows = {}, []
+    for bag in bags:
+        rows.append(np.array([numbers.setdefault(term, len(numbers)) for term in bag], dtype=np.int32))
+    if not numbers:
+        return {}
+    ys, weights = np.asarray(ys, float), np.asarray(weights, float)
+    sizes, at = [len(r) for r in rows], np.concatenate(rows)
+    n = np.bincount(at, np.repeat(weights, sizes), len(numbers))
+    a = np.bincount(at, np.repeat(weights * ys, sizes), len(numbers))
+    total, total_toxic = weights.sum(), (weights * ys).sum()
+    expected = n * total_toxic / total
+    chi2 = (a - expected) ** 2 / (expected * (1 - total_toxic / total) * (1 - n / total) + 1e-9)
+    strong = (np.bincount(at, minlength=len(numbers)) >= MIN_DF) & (chi2 >= MIN_CHI2)
+    factors = np.where(strong, 1.0 + (BOOST - 1.0) * np.minimum(1.0, np.sqrt(chi2 / FULL_CHI2)), 1.0)
+    return dict(zip(numbers, factors.tolist()))
 
 
 class BlockMaxIndex:
-    """Inverted lists in blocks of documents, with the largest weight of each term per block.
+    """Inverted lists of all terms of the sampled texts, each list one stretch of flat arrays.
 
-    A query's bound for a block is the sum of its weights times those maxima. Blocks
-    are read in falling order of their bound until it cannot beat the k-th best
-    cosine found; the result is the exact top k.
+    A whole text shares common words with nearly every block of texts, so bounds of
+    blocks would rule none out: the lists of a query are added up in one pass. The
+    result is the exact top k. Terms that no sampled text has count in the length
+    of a query.
     """
 
-    def __init__(self, vocabulary, bags, ids, ys):
+    def __init__(self, vocabulary, bags, ids, ys, factors=None):
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
-        n = len(bags)
-        df = np.zeros(len(vocabulary))
-        for bag in bags:
-            for term in bag:
-                df[self.vocabulary[term]] += 1
-        self.idf = np.log((1 + n) / (1 + df)) + 1.0
-        rows = [self.vector(bag) for bag in bags]
-        filled = [i for i in range(n) if len(rows[i][0])]
-        # Neighbouring documents share their strongest term, which keeps block bounds tight.
-        filled.sort(key=lambda i: (int(rows[i][0][np.argmax(rows[i][1])]), -float(rows[i][1].max())))
-        self.ids = np.array([ids[i] for i in filled], dtype=object)
-        self.ys = np.array([ys[i] for i in filled], dtype=float)
-        self.blocks = (len(filled) + BLOCK - 1) // BLOCK
-        self.maxima = np.zeros((len(vocabulary), max(self.blocks, 1)), dtype=np.float64)
-        lists = [{} for _ in range(self.blocks)]
-        for at, i in enumerate(filled):
-            for t, w in zip(*rows[i]):
-                lists[at // BLOCK].setdefault(int(t), []).append((at % BLOCK, w))
-                self.maxima[t, at // BLOCK] = max(self.maxima[t, at // BLOCK], w)
-        self.lists = [
-            {t: (np.array([p for p, _ in x]), np.array([w for _, w in x])) for t, x in block.items()} for block in lists
+        # `bags` is read once: all bags at a time would be many times the size of the lists.
+        rows = [
+            (np.array([self.vocabulary[t] for t in bag], dtype=np.int32), np.array(list(bag.values()), dtype=np.int32))
+            for bag in bags
         ]
+        self.n = n = len(rows)
+        sizes = [len(r[0]) for r in rows]
+        at = np.concatenate([r[0] for r in rows] or [np.zeros(0, np.int32)])
+        counts = np.concatenate([r[1] for r in rows] or [np.zeros(0, np.int32)])
+        df = np.bincount(at, minlength=len(self.vocabulary))
+        factors = np.array([1.0 if factors is None else factors[t] for t in vocabulary])
+        self.idf = (np.log((1 + n) / (1 + df)) + 1.0) * factors
+        self.ids = np.array(ids, dtype=object)
+        self.ys = np.array(ys, dtype=float)
+        held = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        w = (1.0 + np.log(counts)) * self.idf[at]
+        w /= np.sqrt(np.bincount(held, w * w, n))[held]
+        order = np.argsort(at, kind="stable")
+        self.places, self.weights = held[order], w[order]
+        self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
 
     def vector(self, bag):
-        """Term numbers and weights of unit length."""
-        at = np.array([self.vocabulary[t] for t in bag], dtype=np.int64)
-        if not len(at):
-            return at, np.zeros(0)
-        w = (1.0 + np.log(np.array([bag[t] for t in bag], dtype=float))) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
+        """Numbers and weights of the known terms; over all terms the weights have unit length."""
+        numbers = np.array([self.vocabulary.get(t, -1) for t in bag], dtype=np.int64)
+        if not len(numbers):
+            return numbers, np.zeros(0)
+        known = numbers >= 0
+        idf = np.full(len(numbers), math.log(1 + self.n) + 1.0)
+        idf[known] = self.idf[numbers[known]]
+        w = (1.0 + np.log(np.array(list(bag.values()), dtype=float))) * idf
+        return numbers[known], w[known] / math.sqrt(float(w @ w))
 
     def nearest(self, bag, k=NEIGHBOURS, leave_out=None):
         """(cosine, position) of the k nearest with a cosine above zero, best first; ties by position."""
         at, w = self.vector(bag)
-        if not len(at) or not self.blocks:
+        if not len(at):
             return []
-        bounds = w @ self.maxima[at]
-        best, floor = [], 0.0
-        for block in np.argsort(-bounds, kind="stable"):
-            if bounds[block] <= 0 or (len(best) >= k and bounds[block] < floor - 1e-12):
-                break
-            sums, lists = np.zeros(BLOCK), self.lists[block]
-            for t, x in zip(at, w):
-                if (found := lists.get(int(t))) is not None:
-                    sums[found[0]] += x * found[1]
-            hits = np.nonzero(sums > 0)[0]
-            best += [(-float(sums[p]), int(block) * BLOCK + int(p)) for p in hits if block * BLOCK + p != leave_out]
-            best.sort()
-            del best[k:]
-            if len(best) == k:
-                floor = -best[-1][0]
-        return [(-s, p) for s, p in best]
+        sizes = self.starts[at + 1] - self.starts[at]
+        before = np.cumsum(sizes) - sizes
+        entries = np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - before, sizes)
+        sums = np.bincount(self.places[entries], self.weights[entries] * np.repeat(w, sizes), minlength=self.n)
+        if leave_out is not None:
+            sums[leave_out] = 0.0
+        hits = np.nonzero(sums > 0)[0]
+        if len(hits) > k:
+            hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
+        hits = hits[np.lexsort((hits, -sums[hits]))][:k]
+        return [(float(sums[p]), int(p)) for p in hits]
 
     def vote(self, near):
         """Features of a vote: weighted share of toxic neighbours, its certainty, the best cosine."""
@@ -129,29 +130,28 @@ class BlockMaxIndex:
 
 
 def fit(sample, counts):
-    """Vocabulary, index and calibration. Each sampled text is scored without itself."""
+    """Index and calibration. Each sampled text is scored without itself."""
     total = counts.get(0, 0) + counts.get(1, 0)
     prior = (counts.get(1, 0) + 1) / (total + 2)
     ys = [y for _, _, y in sample]
     if min(ys.count(0), ys.count(1)) < 4:
         return None, prior
     weights = class_weights(ys, counts)
-    bags = [terms(text) for _, text, _ in sample]
-    vocabulary = choose_terms(bags, ys, weights)
-    if not vocabulary:
+    bags = lambda: (terms(text) for _, text, _ in sample)
+    factors = strengths(bags(), ys, weights)
+    if not factors:
         return None, prior
-    known = set(vocabulary)
-    bags = [Counter({t: n for t, n in bag.items() if t in known}) for bag in bags]
-    index = BlockMaxIndex(vocabulary, bags, [i for i, _, _ in sample], ys)
-    where = {int(i): at for at, i in enumerate(index.ids)}
-    votes = [index.vote(index.nearest(bag, leave_out=where.get(int(i), -1))) for (i, _, _), bag in zip(sample, bags)]
-    found = [bool(bag) for bag in bags]
+    index = BlockMaxIndex(sorted(factors), bags(), [i for i, _, _ in sample], ys, factors)
+    near = [index.nearest(bag, leave_out=at) for at, bag in enumerate(bags())]
+    votes = [index.vote(x) for x in near]
+    found = [bool(x) for x in near]
     empty = [(y, w) for y, w, f in zip(ys, weights, found) if not f]
     none = (sum(w for y, w in empty if y) + prior) / (sum(w for _, w in empty) + 1.0)
     model = None
     if any(found):
         pick = [i for i, f in enumerate(found) if f]
         model = fit_logistic([votes[i] for i in pick], [ys[i] for i in pick], [weights[i] for i in pick])
+        index.limits = np.min([votes[i] for i in pick], 0), np.max([votes[i] for i in pick], 0)
     return (index, model, none), prior
 
 
@@ -161,11 +161,12 @@ EVIDENCE = "struct<score:double,neighbours:array<struct<doc_id:bigint,cosine:dou
 def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES, evidence=5):
     """The probability that a text is toxic, with the labelled texts that say so.
 
-    Terms are words and word beginnings that go with the label in a bounded sample.
-    A text's nearest sampled texts by TF-IDF cosine vote with weights that grow as
+    Terms are all words and word beginnings; those that go with the label in a bounded
+    sample weigh more. A text's nearest sampled texts by TF-IDF cosine vote with weights that grow as
     the distance falls; logistic calibration on leave-one-out votes, weighted to the
-    class shares of all labels, turns the vote into a probability. A text without
-    any of the terms has no neighbours and gets the toxic share of such texts.
+    class shares of all labels, turns the vote into a probability; votes count as far as
+    the sample's own reach, so a text that the sample holds itself is not extrapolated. A text that
+    shares no term with the sample has no neighbours and gets the toxic share of such texts.
 
     Returns doc_id, score, neighbours (doc_id, cosine, label), one row per input
     row, every text read whole. NULL texts score like ''. Repeated rows score
@@ -183,12 +184,11 @@ def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES,
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index, model, none = shared.value
         for batch in texts:
-            bags = [terms(t or "", index.vocabulary) for t in batch]
-            near = [index.nearest(bag) for bag in bags]
-            scores = np.full(len(bags), none)
-            pick = [i for i, bag in enumerate(bags) if bag]
+            near = [index.nearest(terms(t or "")) for t in batch]
+            scores = np.full(len(near), none)
+            pick = [i for i, found in enumerate(near) if found] if model else []
             if pick:
-                scores[pick] = logistic(model, [index.vote(near[i]) for i in pick])
+                scores[pick] = logistic(model, np.clip([index.vote(near[i]) for i in pick], *index.limits))
             shown = [
                 [{"doc_id": int(index.ids[p]), "cosine": s, "toxic": int(index.ys[p])} for s, p in found[:evidence]]
                 for found in near

@@ -183,6 +183,25 @@ def test_block_max_search_is_exact():
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s in want if s > 0]
 
 
+def test_neighbours_by_all_terms(spark):
+    """A text without any word that goes with the label still finds its near copy, by the plain cosine."""
+    rude = [(100 + i, prose(i, 60) + (" you fool" if i % 2 else " dear friend")) for i in range(60)]
+    rare = [(900, prose(900, 60, 10**6)), (901, prose(900, 60, 10**6) + " w1 unheard")]
+    docs = docs_of(spark, rude + rare)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rude] + [(900, 0)], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, labels, lambda i: F.lit(True)).collect()}
+    near = got[901]["neighbours"][0]
+    assert near["doc_id"] == 900 and 0.9 < near["cosine"] < 1 and got[901]["score"] < 0.5
+    assert got[900]["neighbours"][0]["cosine"] == pytest.approx(1.0)
+    sample = [(i, t, int(i) % 2) for i, t in rude] + [(900, rare[0][1], 0)]
+    (index, _, _), _ = toxicity.fit(sample, {0: 31, 1: 30})
+    vectors = [dict(zip(*map(list, index.vector(toxicity.terms(t))))) for _, t, _ in sample]
+    assert all(len(v) == len(toxicity.terms(t)) for v, (_, t, _) in zip(vectors, sample))
+    q = dict(zip(*map(list, index.vector(toxicity.terms(rare[1][1])))))
+    want = sorted((sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors), reverse=True)[:15]
+    assert [s for s, _ in index.nearest(toxicity.terms(rare[1][1]))] == pytest.approx([s for s in want if s > 0])
+
+
 @pytest.mark.parametrize("target", ["toxic", "quality"])
 def test_classifiers_on_held_out_rows(spark, target):
     sf = "/root/testdata/sf0.01"
