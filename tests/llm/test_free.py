@@ -159,6 +159,15 @@ def test_contamination_equals_brute_force(spark):
     assert len(want) > 8
 
 
+def test_short_items_next_to_punctuation(spark):
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "name the capital"), (3, "(a) or b")], "item_id bigint, text string")
+    texts = ["(What is 2+2?)", '"what is 2+2?", he asked', "Name the capital, please.", "\u201cname the capital\u201d", "x:(a) or b;",
+             "name the capitals", "rename the capital", "name the capital\u0301", "so what is 2+2?", "name_the capital", "(a) or both"]
+    got = decontaminate.contamination(docs_of(spark, list(enumerate(texts))), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["distance"]) for r in got} == {(0, 1, 0), (1, 1, 0), (2, 2, 0), (3, 2, 0), (4, 3, 0), (8, 1, 0)}
+    assert all(decontaminate.normalise(texts[r["doc_id"]])[r["match_start"] : r["match_end"]] in ("what is 2+2?", "name the capital", "(a) or b") for r in got)
+
+
 def test_contamination_awkward_rows(spark):
     docs = awkward(spark)
     bench = spark.createDataFrame([(1, prose(3, 80))], "item_id bigint, text string")
