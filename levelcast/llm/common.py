@@ -1,9 +1,15 @@
 """What the operators share: words, written intermediate tables, ordering of rows."""
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from levelcast.session import scratch_dir
 
+# Functions of this package travel to executors as code, so they need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 # A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"

@@ -12,9 +12,13 @@ from levelcast.llm import (
     mixing,
     near_dup,
     shards,
+    source_audit,
+    spelling,
+    token_files,
     toxicity,
 )
 from levelcast.llm.common import table
+from levelcast.session import scratch_dir
 
 
 def documents(spark, sf_dir):
@@ -102,6 +106,22 @@ def op10_license_scan(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op11_count_cells(spark, sf_dir):
+    return source_audit.audit_sources(documents(spark, sf_dir))
+
+
+def op12_sorted_variants(spark, sf_dir):
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_simple8b(spark, sf_dir):
+    import public_tokenizers
+
+    path = scratch_dir(spark, "token-files")
+    token_files.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path, end_id=2)
+    return token_files.read_tokens(spark, path)
+
+
 def queries():
     own = (
         op1_edit_matching,
@@ -115,6 +135,9 @@ def queries():
         op8_line_passages,
         op9_curriculum_mix,
         op10_license_scan,
+        op11_count_cells,
+        op12_sorted_variants,
+        op13_simple8b,
     )
     return {f.__name__: f for f in own}
 

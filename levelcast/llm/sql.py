@@ -1,6 +1,6 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from levelcast.llm import licenses, line_chunks, line_rules, mixing, shards
+from levelcast.llm import licenses, line_chunks, line_rules, mixing, shards, source_audit
 from levelcast.llm.common import GAP, WORD
 
 
@@ -199,7 +199,40 @@ SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(y, doc_id)) AS compo
 FROM g LEFT JOIN least_of ON doc_id = x
 """
 
+SOURCE_AUDIT = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t
+    FROM documents),
+w AS (
+    SELECT r, lang, source, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= {source_audit.MIN_DOCS}),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n
+      FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+y AS (SELECT *, sum(n) OVER (PARTITION BY lang, source)::HUGEINT AS total, count(*) OVER (PARTITION BY lang, source) AS terms FROM x),
+p AS (SELECT lang, source, term, n, (1 + ({source_audit.SCALE}::HUGEINT * (n + 2)) // (total + 2 * terms))::BIGINT AS p FROM y),
+l AS (SELECT lang, term, sum(n) AS n FROM x GROUP BY ALL),
+z AS (SELECT *, sum(n) OVER (PARTITION BY lang)::HUGEINT AS total, count(*) OVER (PARTITION BY lang) AS terms FROM l),
+q AS (SELECT lang, term, (1 + ({source_audit.SCALE}::HUGEINT * (n + 2)) // (total + 2 * terms))::BIGINT AS q FROM z),
+v AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+    FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM o)
+WHERE part = 'pair' OR rank <= {source_audit.TOP}
+""".replace("\\\\", "\\")
+
 ORACLE = {
+    "op11_count_cells": SOURCE_AUDIT,
     "op6_bottom_k": NEAR_DUPLICATES,
     "op4_line_rules": LINE_RULES,
     "op5_prefix_targets": PREFIX_TARGETS,
