@@ -18,6 +18,7 @@ result. So a task that is tried again, or twice, adds nothing.
 
 import itertools
 import json
+import os
 import re
 import struct
 import sys
@@ -25,7 +26,6 @@ import types
 import unicodedata
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +56,11 @@ def _least_width(values):
 _SMALL = _least_width(np.arange(1 << 16, dtype=np.uint64))
 
 
-def _pack(values, widest):
+def _pack(values, widest, least=None):
     """Words and escaped values of a uint64 array; values that `widest` bits cannot hold are escaped."""
     n = len(values)
+    least = _widths(values) if least is None else least
     escaped = values >= np.uint64((1 << int(widest)) - 1)
-    least = _SMALL[values] if values.max() < len(_SMALL) else _least_width(values)
     least = np.where(escaped, np.int8(widest), least)
     # From each place, how many values the best selector takes; beyond the end anything fits.
     selector = np.zeros(n, dtype=np.int8)
@@ -95,19 +95,23 @@ def _pack(values, widest):
     return words, values[escaped]
 
 
+def _widths(values):
+    return _SMALL[values] if values.max() < len(_SMALL) else _least_width(values)
+
+
 def pack(values):
-    """(words, escapes) of unsigned 64-bit values, by the last width that makes them smallest."""
+    """(words, escapes) of unsigned 64-bit values, by the last width that is likely to make them smallest."""
     values = np.asarray(values, dtype=np.uint64)
     if not len(values):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    top = int(values.max()) + 1
-    useful = [w for w in ESCAPE_BEYOND if w == 60 or 1 << w <= top * 64]
-    fits = [w for w in useful if top < 1 << w]
-    tried = [w for w in useful if w <= (fits[0] if fits else 60)]
-    # A sample of the block picks the width; the coding is exact whatever it is.
-    sample = values if len(values) <= 1024 else values[: len(values) // 2][-1024:]
-    size = lambda w: sum(map(len, _pack(sample, w)))
-    return _pack(values, min(tried, key=size) if len(tried) > 1 else tried[0])
+    least = _widths(values)
+    # Of four neighbours the widest sets the width, more or less; the coding is exact whatever is taken.
+    each = np.bincount(least, minlength=61)
+    fours = np.bincount(least[: len(least) // 4 * 4].reshape(-1, 4).max(axis=1), minlength=61)
+    share = np.zeros(61)
+    share[WIDTHS[::-1]] = 4 / COUNTS[::-1]
+    sizes = {w: (fours[: w + 1] * share[: w + 1]).sum() + fours[w + 1 :].sum() * share[w] + each[w + 1 :].sum() for w in ESCAPE_BEYOND}
+    return _pack(values, min(sizes, key=sizes.get), least)
 
 
 def unpack(words, escapes, n):
@@ -235,6 +239,7 @@ class Encoder:
     """
 
     def __init__(self, spec):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the other cores have tasks of their own
         import tokenizers
 
         self.tokenizer = tokenizers.Tokenizer.from_str(spec)
@@ -250,7 +255,7 @@ class Encoder:
 
     def __call__(self, texts):
         """One array of ids per text."""
-        ask = lambda given: [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+        ask = lambda given: [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
         if not self.by_piece:
             return [np.frombuffer(x, np.uint32) for x in ask(texts)]
         pieces = [None if NOT_PLAIN.search(t) or any(o in t for o in self.own) else self.split(t) for t in texts]
@@ -398,8 +403,10 @@ def read_tokens(spark, path, split_ids=16_000_000):
         "part", "at", "file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("ids") - 1, F.lit(0)), F.lit(split_ids))).alias("first")
     )
     splits = splits.withColumn("last", F.col("first") + split_ids)
-    rows = splits.repartition("file", "first").mapInArrow(_reader(f"{path}/ids"), ROWS)
+    # A given number: the few rows of small files would otherwise be put into one task.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = splits.repartition(n, "file", "first").mapInArrow(_reader(f"{path}/ids"), ROWS)
     known = files.select("part", "at", "ids_before")
-    return rows.join(F.broadcast(known), ["part", "at"]).select(
+    return rows.join(known, ["part", "at"]).select(
         "doc_id", (F.col("ids_before") + F.col("before")).alias("start"), "n_tokens", "ids_crc32"
     )
