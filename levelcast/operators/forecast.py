@@ -16,12 +16,13 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 from levelcast.functions.numbers import is_finite
 from levelcast.functions.timecols import MICROS, crossing_time, seconds_between
 from levelcast.metrics import METRICS, constant, require_columns
 from levelcast.operators import series
+from levelcast.operators.slopes import PairwiseSlopes
 
 # The fit travels to executors as code, so they need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -119,24 +120,11 @@ def _series_facts(lagged, metrics):
             F.bool_and(F.coalesce(F.col("at") > F.col("prev_at"), F.lit(True))).alias("_rising"),
         )
     )
-    part = Window.partitionBy(*KEYS)
-    by_gap = part.orderBy("_gap").rowsBetween(Window.unboundedPreceding, 0)
-    positive = F.col("_gap") > 0
-    counted = F.when(positive, F.col("_n")).otherwise(0)
-    ranked = histogram.select(
-        "*",
-        F.sum(counted).over(by_gap).alias("_upto"),
-        F.sum(counted).over(part).alias("_gaps"),
-    )
-
-    def at_rank(rank):
-        seconds = F.col("_gap") / F.lit(float(MICROS))
-        return F.min(F.when(positive & (F.col("_upto") >= rank), seconds)).over(part)
-
-    low = at_rank(F.floor((F.col("_gaps") + 1) / 2))
-    high = at_rank(F.floor(F.col("_gaps") / 2) + 1)
-    timed = ranked.withColumn("_cadence", (low + high) / F.lit(2.0))
-    limit = F.col("_cadence") * constant(metrics, "gap_factor")
+    # The gap limit reaches the histogram over (series, digit of the gap), never over the bare series.
+    histogram = histogram.withColumn("_digit", series.digits(F.col("_gap"), 1))
+    known = histogram.select(*KEYS, "_digit").distinct().join(series.cadence_of(histogram, KEYS), KEYS, "left")
+    timed = histogram.join(known, [*KEYS, "_digit"])
+    limit = F.col("cadence_seconds") * constant(metrics, "gap_factor")
     broken = F.col("_gap") / F.lit(float(MICROS)) > limit
     facts = timed.withColumn("_broken", broken).groupBy(*KEYS).agg(
         F.max("_newest_at").alias("as_of"),
@@ -145,7 +133,7 @@ def _series_facts(lagged, metrics):
         F.min("_first_pos").alias("_first_pos"),
         F.max("_last_pos").alias("_last_pos"),
         F.sum("_n").alias("samples"),
-        F.first("_cadence").alias("cadence_seconds"),
+        F.first("cadence_seconds").alias("cadence_seconds"),
         F.max("_jump_pos").alias("_jump_pos"),
         F.max("_jump_at").alias("_jump_at"),
         F.max(F.when(F.col("_broken"), F.col("_last_pos"))).alias("_gap_pos"),
@@ -174,31 +162,27 @@ def _fit_one(at, value):
     if n < MIN_FIT_POINTS:
         return None
     x = (at - at[-1]) / 1e6 / 3600.0
-    i, j = np.triu_indices(n, 1)
-    dx = x[j] - x[i]
-    apart = dx != 0
-    slopes = (value[j] - value[i])[apart] / dx[apart]
-    m = len(slopes)
+    slopes = PairwiseSlopes(x, value)
+    m = slopes.count
     if m == 0:
         return None
     # Ranks of the interval's ends around the middle rank: outward to whole ranks, kept inside.
     half = Z95 * math.sqrt(n * (n - 1) * (2 * n + 5) / 18.0) / 2.0
     outward = (math.floor(m / 2.0 - half), math.ceil(m / 2.0 + half))
     low, high = (int(r) for r in np.clip(outward, 0, m - 1))
-    middle = [(m - 1) // 2, m // 2]
-    slopes.partition(sorted({low, high, *middle}))
-    slope = slopes[middle].mean()
+    low, high, *middle = slopes.at_ranks([low, high, (m - 1) // 2, m // 2])
+    slope = (middle[0] + middle[1]) / 2.0
     intercept = np.median(value - slope * x)
     mad = np.median(np.abs(value - (slope * x + intercept)))
-    return m, slope, slopes[low], slopes[high], intercept, mad
+    return m, slope, low, high, intercept, mad
 
 
 @F.pandas_udf(FIT_TYPE)
 def fit_points(at: pd.Series, value: pd.Series) -> pd.DataFrame:
     """Fit each row's points (epoch microseconds ascending, values).
 
-    A row holds at most `max_fit_points` points, so the pairs of a series stay
-    inside one array of bounded size; they are never rows.
+    A row holds at most `max_fit_points` points. Their pairs are neither rows nor
+    an array: slopes are selected by rank in memory that grows with the points.
     """
     empty = (None,) * len(FIT_TYPE.fields)
     out = [
@@ -210,6 +194,16 @@ def fit_points(at: pd.Series, value: pd.Series) -> pd.DataFrame:
     return frame.astype({"pairs": "Int64", **types})
 
 
+def fit_newest(samples, cap, keys=KEYS):
+    """The fit over the newest `cap` samples of every series, whatever its segments; one row per series."""
+    newest = series.newest_rows(samples, keys, "at", cap, ["value"])
+    pair = F.struct(F.unix_micros("at").alias("at"), F.col("value").alias("value"))
+    points = newest.groupBy(*keys).agg(F.sort_array(F.collect_list(pair)).alias("_points"))
+    fit = fit_points(F.col("_points.at"), F.col("_points.value"))
+    fitted = points.select(*keys, F.size("_points").alias("fit_points"), fit.alias("_fit"))
+    return fitted.select(*keys, "fit_points", "_fit.*")
+
+
 def _gather(points):
     """One row per series with its newest points in time order."""
     pair = F.struct(F.unix_micros("at").alias("at"), F.col("value").alias("value"))

@@ -14,7 +14,7 @@ from levelcast.functions.timecols import MICROS, minus_seconds, seconds_between
 from levelcast.metrics import constant
 
 SLICE_SECONDS = 3600
-GAP_BUCKET_SECONDS = 1.0
+LEVELS = 1  # digits a median is narrowed by
 _SLICE = "_slice"
 
 
@@ -118,69 +118,74 @@ def running_total(df, keys, block, order, value, alias):
     )
 
 
-def weighted_median(histogram, keys, value, count, bucket_width=None):
-    """Exact median per key of a (key, value, count) histogram.
+def digits(value, level):
+    """The first `level` digits of a number's place on the scale of binary logarithms, as one integer.
 
-    The mean of the two middle values. With `bucket_width` the values of a key
-    are first narrowed to the buckets that hold the middle ranks, so that no
-    task sees more of a key than its bucket totals plus one or two buckets.
+    Never falls where the value rises. The first digit has 1024 places an octave,
+    so 65,536 for all 64-bit integers; each further one parts a place into 256.
     """
-    low_rank = F.floor((F.col("_all") + 1) / 2)
-    high_rank = F.floor(F.col("_all") / 2) + 1
-    base = histogram.withColumn("_before", F.lit(0).cast("bigint"))
-    if bucket_width is not None:
-        bucket = F.floor(F.col(value) / F.lit(float(bucket_width)))
-        base = histogram.withColumn("_bucket", bucket)
-        totals = base.groupBy(*keys, "_bucket").agg(F.sum(count).alias("_in"))
-        ordered = Window.partitionBy(*keys).orderBy("_bucket")
-        totals = totals.select(
-            *keys,
-            "_bucket",
-            "_in",
-            F.sum("_in").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-            F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"),
-        )
-        wanted = totals.filter(
-            ((F.col("_upto") - F.col("_in") < low_rank) & (F.col("_upto") >= low_rank))
-            | ((F.col("_upto") - F.col("_in") < high_rank) & (F.col("_upto") >= high_rank))
-        ).select(*keys, "_bucket", (F.col("_upto") - F.col("_in")).alias("_before"), "_all")
-        base = base.join(wanted, [*keys, "_bucket"])
-        part = Window.partitionBy(*keys, "_bucket")
-    else:
-        part = Window.partitionBy(*keys)
-        base = base.withColumn("_all", F.sum(count).over(part))
-    upto = F.sum(count).over(part.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = base.withColumn("_upto", upto + F.col("_before"))
-    return ranked.groupBy(*keys).agg(
-        (
-            (
-                F.min(F.when(F.col("_upto") >= low_rank, F.col(value)))
-                + F.min(F.when(F.col("_upto") >= high_rank, F.col(value)))
-            )
-            / F.lit(2.0)
-        ).alias("median")
-    )
+    size = F.floor((F.log2(F.abs(value).cast("double")) + 1100.0) * float(1024 * 256 ** (level - 1)))
+    return F.when(value > 0, size + 1).when(value < 0, -1 - size).otherwise(F.lit(0)).cast("bigint")
+
 
+def radix_middle(histogram, keys, value, count, levels=LEVELS):
+    """The two middle values, `low` and `high`, per key of a (key, value, count) histogram.
 
-def exact_median(df, keys, value, bucket_width):
-    """Exact median of a double column per key, pre-aggregated by value."""
+    Selection digit by digit from the most significant one: totals per digit
+    tell in which one the middle ranks lie, and only that one is looked at by its
+    next digit. A task sees the totals of one digit group of a key, at the end the
+    values that agree in all `levels` digits: after one, those within 0.07 % of
+    the middle value, after two within three millionths. NULL values have no rank.
+    """
+    places = [f"_p{k}" for k in range(1, levels + 1)]
+    values = histogram.filter(F.col(value).isNotNull()).withColumns(
+        {p: digits(F.col(value), k + 1) for k, p in enumerate(places)}
+    )
+    totals = [values.groupBy(*keys, *places).agg(F.sum(count).alias("_in"))]
+    for k in range(levels - 1, 0, -1):
+        totals.insert(0, totals[0].groupBy(*keys, *places[:k]).agg(F.sum("_in").alias("_in")))
+    totals.append(values.withColumnRenamed(count, "_in"))
+    path = [*places, value]
+    # Which digit groups are open, the rows of the key below them, and the two ranks.
+    held = None
+    for k, group in enumerate(totals):
+        group = group.select(*keys, *path[: k + 1], "_in")
+        above = [*keys, *path[:k]]
+        if held is None:
+            all_of = F.sum("_in").over(Window.partitionBy(*keys))
+            group = group.select("*", F.lit(0).cast("bigint").alias("_below"), all_of.alias("_all"))
+        else:
+            group = group.join(held, above)
+        within = Window.partitionBy(*above).orderBy(path[k])
+        upto = F.sum("_in").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_below")
+        ranked = group.withColumn("_upto", upto)
+        ranks = (F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)
+        holds = [(F.col("_upto") - F.col("_in") < r) & (F.col("_upto") >= r) for r in ranks]
+        open_ = ranked.filter(holds[0] | holds[1])
+        if k < levels:
+            held = open_.select(*keys, *path[: k + 1], (F.col("_upto") - F.col("_in")).alias("_below"), "_all")
+    return open_.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def exact_median(df, keys, value, levels=LEVELS):
+    """Exact median of a numeric column per key, pre-aggregated by value: the mean of the two middle values."""
     histogram = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    return weighted_median(histogram, keys, value, "_n", bucket_width)
+    middle = radix_middle(histogram, keys, value, "_n", levels)
+    return middle.select(*keys, ((F.col("low") + F.col("high")) / F.lit(2.0)).alias("median"))
 
 
-def cadence(lagged, keys):
-    """Median of the positive gaps of each key, in seconds; keys without a gap have no row.
+def cadence_of(histogram, keys):
+    """Median of the positive gaps of a (key, _gap in microseconds, _n) histogram, in seconds."""
+    middle = radix_middle(histogram.filter(F.col("_gap") > 0).select(*keys, "_gap", "_n"), keys, "_gap", "_n")
+    seconds = lambda c: F.col(c) / F.lit(float(MICROS))
+    return middle.select(*keys, ((seconds("low") + seconds("high")) / F.lit(2.0)).alias("cadence_seconds"))
 
-    Narrowed to buckets of gaps first, so that a series whose gaps all differ does
-    not sort its whole histogram in one task.
-    """
+
+def cadence(lagged, keys):
+    """Median of the positive gaps of each key, in seconds; keys without a gap have no row."""
     gap = F.unix_micros("at") - F.unix_micros("prev_at")
     gaps = lagged.select(*keys, gap.alias("_gap")).filter(F.col("_gap") > 0)
-    histogram = gaps.groupBy(*keys, "_gap").agg(F.count(F.lit(1)).alias("_n"))
-    histogram = histogram.withColumn("_gap", F.col("_gap") / F.lit(float(MICROS)))
-    return weighted_median(histogram, keys, "_gap", "_n", GAP_BUCKET_SECONDS).withColumnRenamed(
-        "median", "cadence_seconds"
-    )
+    return cadence_of(gaps.groupBy(*keys, "_gap").agg(F.count(F.lit(1)).alias("_n")), keys)
 
 
 def metric_window(samples, metrics, now):
@@ -225,10 +230,36 @@ def newest_segment(segmented):
     return segmented.join(last, [*keys, "segment_id"])
 
 
-def newest_rows(df, keys, at, cap):
-    """The newest `cap` rows per key; each task passes on at most `cap` rows per key."""
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(at).desc()))
-    return df.withColumn("_rank", newest).filter(F.col("_rank") <= cap).drop("_rank")
+def first_rows(df, keys, at, cap, ties=(), newest=False, slice_seconds=(SLICE_SECONDS,)):
+    """The first (or newest) `cap` rows per key by `at`, ties by the columns `ties`.
+
+    The cut-off comes from counts per time slice, one row each: slices before the
+    one that holds the last row wanted are kept whole, later ones dropped, and
+    only the rows of that one slice are ranked. Further, narrower widths in
+    `slice_seconds` cut that slice in the same way first, for busy hours.
+    """
+    way = (lambda c: F.col(c).desc()) if newest else F.col
+    cut, done, rows = F.lit(cap).cast("bigint"), None, df
+    for width in slice_seconds:
+        rows = _sliced(rows, at, width)
+        by = [*keys, _SLICE]
+        totals = rows.groupBy(*by, *(["_room"] if done is not None else [])).agg(F.count(F.lit(1)).alias("_in"))
+        before = Window.partitionBy(*keys).orderBy(way(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+        room = (cut if done is None else F.col("_room")) - F.coalesce(F.sum("_in").over(before), F.lit(0))
+        cutoff = totals.withColumn("_left", room).filter(F.col("_left") > 0)
+        cutoff = cutoff.select(*by, F.col("_left"), (F.col("_in") <= F.col("_left")).alias("_whole"))
+        joined = rows.drop("_room").join(cutoff, by)
+        kept = joined.filter("_whole").select(*df.columns)
+        done = kept if done is None else done.unionAll(kept)
+        rows = joined.filter("NOT _whole").select(*df.columns, F.col("_left").alias("_room"), F.col(_SLICE).alias("_last"))
+    order = Window.partitionBy(*keys, "_last").orderBy(way(at), *[way(c) for c in ties])
+    ranked = rows.withColumn("_rank", F.row_number().over(order)).filter((F.col("_rank") <= cap) & (F.col("_rank") <= F.col("_room")))
+    return done.unionAll(ranked.select(*df.columns))
+
+
+def newest_rows(df, keys, at, cap, ties=(), slice_seconds=(SLICE_SECONDS,)):
+    """The newest `cap` rows per key; see `first_rows`."""
+    return first_rows(df, keys, at, cap, ties, True, slice_seconds)
 
 
 def gap_breaks(readings, max_gap_seconds=450.0, slice_seconds=SLICE_SECONDS):

@@ -53,7 +53,8 @@ METRICS = (
         alert_horizon_seconds=5 * DAY,
     ),
 )
-SHORT_FIT = 12  # points
+SHORT_FIT, LONG_FIT = 12, 5000  # points
+FIRST_MESSAGES = 500
 # Constants under which caps bite, and refills are not seen as such.
 CAPPED = tuple(dataclasses.replace(m, max_fit_points=SHORT_FIT) for m in METRICS)
 UNSPLIT = tuple(dataclasses.replace(m, refill_jump=1000.0, gap_factor=1000.0) for m in METRICS)
@@ -262,6 +263,13 @@ def capture_bounds(spark, d):
     return _message_rows(kept, "captured_at")
 
 
+@query
+def capture_first(spark, d):
+    """The first messages of a capture by number; the last ones share their second with others."""
+    kept = captures.capture_bounds(_captured(spark, d), ("captured_at", "arrival_seq"), "captured_at", count=FIRST_MESSAGES)
+    return _message_rows(kept, "captured_at")
+
+
 @query
 def telemetry_insert_if_absent(spark, d):
     """First arrivals against a table that already holds the readings up to EARLIER."""
@@ -592,7 +600,7 @@ def last_value(spark, d):
 
 @query
 def exact_median(spark, d):
-    return series.exact_median(_readings(spark, d), ["device_id"], "water_level", 1.0)
+    return series.exact_median(_readings(spark, d), ["device_id"], "water_level")
 
 
 @query
@@ -816,6 +824,15 @@ def stale_rule(spark, d):
     return f.select("device_id", "kind", "as_of", "cadence_seconds", stale.alias("stale"))
 
 
+@query
+def long_fits(spark, d):
+    """The fit over LONG_FIT points, 12.5 million pairs, of one series in which times and values repeat."""
+    samples = _samples(spark, d).filter("kind = 'water'").withColumn("at", F.date_trunc("minute", "at"))
+    fits = forecast.fit_newest(samples.withColumn("device_id", F.lit("fleet")), LONG_FIT)
+    columns = ("slope_per_hour", "slope_low_per_hour", "slope_high_per_hour")
+    return _rounded(fits.select("device_id", "kind", "fit_points", "pairs", *columns), *columns, digits=9)
+
+
 @query
 def pairwise_slopes(spark, d):
     """How many sample pairs the fit of each series compared, and over how many points."""

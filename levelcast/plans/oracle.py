@@ -412,6 +412,9 @@ def oracle_sql():
         "capture_bounds": wired
         + """SELECT topic, payload, received_at AS captured_at, arrival_seq FROM wire
           WHERE received_at <= (SELECT min(received_at) FROM wire) + INTERVAL 20 DAY""",
+        "capture_first": wired
+        + f"""SELECT topic, payload, received_at AS captured_at, arrival_seq FROM wire
+          ORDER BY received_at, arrival_seq LIMIT {catalog.FIRST_MESSAGES}""",
         "telemetry_insert_if_absent": wired
         + f"SELECT * FROM accepted WHERE measured_at > {_EARLIER}",
         "dead_letter_append": wired + "SELECT * FROM dead",
@@ -660,6 +663,17 @@ def oracle_sql():
         "stale_rule": forecasts
         + f"""SELECT device_id, kind, as_of, cadence_seconds, status = 'stale' AS stale
           FROM forecasts""",
+        "long_fits": base
+        + f""", t AS (SELECT date_trunc('minute', measured_at) AS ts, water_level AS y FROM readings),
+        n AS (SELECT * FROM t ORDER BY ts DESC, y DESC LIMIT {catalog.LONG_FIT}),
+        p AS (SELECT (epoch_us(ts) - max(epoch_us(ts)) OVER ()) / 1000000::DOUBLE / 3600 AS x, y FROM n),
+        s AS (SELECT list_sort(list((b.y - a.y) / (b.x - a.x))) AS o FROM p a JOIN p b ON a.x < b.x),
+        c AS (SELECT count(*) AS k, 1.959963984540054::DOUBLE * sqrt(count(*) * (count(*) - 1) * (2 * count(*) + 5) / 18::DOUBLE) AS w FROM p)
+        SELECT 'fleet' AS device_id, 'water' AS kind, k AS fit_points, len(o) AS pairs,
+          round({_median('o')}, 9) AS slope_per_hour,
+          round(o[greatest(floor((len(o) - w) / 2), 0)::BIGINT + 1], 9) AS slope_low_per_hour,
+          round(o[least(ceil((len(o) + w) / 2), len(o) - 1)::BIGINT + 1], 9) AS slope_high_per_hour
+        FROM s, c""",
         "pairwise_slopes": fit.format("fit_points, pairs"),
         "theil_sen_slope": fit.format(_r("slope_per_hour", 9)),
         "slope_interval": fit.format(

@@ -138,8 +138,12 @@ def write_capture(messages, path, order=("captured_at",)):
     capture_lines(ordered).write.mode("overwrite").text(path)
 
 
-def capture_bounds(messages, order, at, count=None, duration_seconds=None):
-    """The first `count` messages or `duration_seconds`, whichever ends first."""
+def capture_bounds(messages, order, at, count=None, duration_seconds=None, slice_seconds=(3600, 1)):
+    """The first `count` messages or `duration_seconds`, whichever ends first.
+
+    `order` begins with `at`. Messages are counted per hour, then per second of the
+    hour that holds the last one wanted; only that second's messages are ranked.
+    """
     if count is None and duration_seconds is None:
         raise ValueError("give count or duration_seconds")
     if count is not None and count <= 0:
@@ -150,7 +154,11 @@ def capture_bounds(messages, order, at, count=None, duration_seconds=None):
     if duration_seconds is not None:
         first = messages.agg(F.min(at)).scalar()
         kept = kept.filter(seconds_between(at, first) <= F.lit(float(duration_seconds)))
-    return kept.orderBy(*order).limit(count) if count is not None else kept
+    if count is None:
+        return kept
+    if order[0] != at:
+        raise ValueError("order must begin with the time of arrival")
+    return series.first_rows(kept, [], at, count, order[1:], slice_seconds=slice_seconds)
 
 
 def replay_offsets(captured, speed, order="line_no", block="block"):

@@ -4,7 +4,7 @@ import random
 import statistics
 
 import pytest
-from conftest import START, STEP, aware, ramp, series as values_at
+from conftest import START, STEP, at, aware, ramp, series as values_at
 from pyspark.sql import Window, functions as F
 
 from levelcast.metrics import METRICS, WATER
@@ -89,7 +89,7 @@ def test_sliced_operators_match_plain_windows(spark):
     got = {r.device_id: r.cadence_seconds for r in series.cadence(lagged, ["device_id"]).collect()}
     assert got == expected
 
-    medians = {r.device_id: r.median for r in series.exact_median(df, ["device_id"], "value", 1.0).collect()}
+    medians = {r.device_id: r.median for r in series.exact_median(df, ["device_id"], "value").collect()}
     for device, value in medians.items():
         assert value == statistics.median([r[3] for r in rows if r[0] == device])
     df.unpersist()
@@ -125,3 +125,54 @@ def test_newest_rows_and_gap_breaks(spark):
     rows = series.gap_breaks(readings).orderBy("measured_at").collect()
     assert [r.starts_new_line for r in rows] == [False, False, False, True]
     assert aware(rows[0].measured_at) == START and rows[0].gap_seconds is None
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_radix_median_equals_a_sort(spark, levels):
+    rng = random.Random(levels)
+    rows = [("jitter", 300_000_000 + rng.randrange(1_000_000)) for _ in range(3001)]
+    rows += [("wide", rng.choice([1, 7, 10**3, 10**9, 10**15]) + rng.randrange(3)) for _ in range(500)]
+    rows += [("signs", rng.randrange(-50, 50)) for _ in range(301)] + [("one", 5), ("two", 5), ("two", 2**62), ("none", None)]
+    df = spark.createDataFrame(rows, "device_id string, value bigint")
+    got = {r.device_id: r["median"] for r in series.exact_median(df, ["device_id"], "value", levels).collect()}
+    held = {}
+    for k, v in rows:
+        if v is not None:
+            held.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in held.items()}
+    halves = df.withColumn("value", F.col("value") / 8)
+    got = {r.device_id: r["median"] for r in series.exact_median(halves, ["device_id"], "value", levels).collect()}
+    assert got == {k: statistics.median(x / 8 for x in v) for k, v in held.items()}
+
+
+def test_a_jittery_series_is_narrowed_before_it_is_sorted(spark):
+    rng = random.Random(8)
+    gaps = spark.createDataFrame([("d", 300_000_000 + rng.randrange(10**6)) for _ in range(20_000)], "device_id string, v bigint")
+    by = lambda level: gaps.groupBy(series.digits(F.col("v"), level)).agg(F.countDistinct("v").alias("n")).agg(F.max("n"), F.count("*")).first()
+    assert by(1)[0] < 5000 and by(1)[1] < 16 and by(2)[0] < 40
+
+
+@pytest.mark.parametrize("widths", [(3600,), (3600, 60), (86400, 3600, 1)])
+@pytest.mark.parametrize("newest", [True, False])
+def test_cut_off_equals_a_sort(spark, widths, newest):
+    rng = random.Random(len(widths))
+    rows = [(rng.choice("ab"), at(seconds=rng.choice([0, 1, 59, 3600, 3601, 90_000, rng.randrange(200_000)])), i) for i in range(400)]
+    rows += [("c", at(), 1000 + i) for i in range(30)] + [("d", at(), 5000)]
+    df = spark.createDataFrame(rows, "k string, at timestamp, i int")
+    got = series.first_rows(df, ["k"], "at", 25, ["i"], newest, widths)
+    want = []
+    for k in "abcd":
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: r[1:], reverse=newest)
+        want += [(r[0], r[2]) for r in mine[:25]]
+    assert sorted((r.k, r.i) for r in got.collect()) == sorted(want)
+    first = series.first_rows(df, [], "at", 40, ["i"], newest, widths).collect()
+    assert sorted(r.i for r in first) == sorted(r[2] for r in sorted(rows, key=lambda r: r[1:], reverse=newest)[:40])
+    assert series.first_rows(df.limit(0), ["k"], "at", 3).count() == 0
+
+
+def test_cut_off_ranks_no_row_over_the_bare_key(spark):
+    df = spark.createDataFrame([("a", at(), 1)], "k string, at timestamp, i int")
+    for plan in (series.newest_rows(df, ["k"], "at", 3), series.first_rows(df, [], "at", 3)):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        ranks = [line for line in text.splitlines() if "row_number()" in line and "windowspecdefinition" in line]
+        assert ranks and all("_last#" in line for line in ranks) and "Limit" not in text.replace("WindowGroupLimit", "")
