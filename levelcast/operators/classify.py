@@ -38,12 +38,18 @@ BAD_TOPIC = "topic does not match planter/v1/{device_id}/telemetry"
 
 _NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NON_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
-_DATE = r"\d{4}-\d{2}-\d{2}"
+_DATE = r"(?!0000)\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}(:\d{2}([.,]\d+)?)?"
 _ZONED = rf"\A{_DATE}[Tt _]{_CLOCK}([Zz]|[+-]\d{{2}}:?\d{{2}})\z"
 # What devices normally send, and a cast reads as it stands.
 _PLAIN = rf"\A{_DATE}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d{{1,6}})?Z\z"
 _ZONELESS = rf"\A{_DATE}([Tt _]{_CLOCK})?\z"
+# The first and last days there are, on which an offset may lead out of the calendar.
+_EDGE = r"\A(0001-01-01|9999-12-31)"
+# The first microsecond of year 1 and the last of year 9999.
+_FIRST_MICROS, _LAST_MICROS = -62_135_596_800_000_000, 253_402_300_799_999_999
+# Fixed value: the characters of white space that may stand around a number in text.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Fixed value: epoch numbers beyond this magnitude count milliseconds.
 _SECONDS_LIMIT = 2e10
 
@@ -62,9 +68,23 @@ def _body(raw):
     return F.when(_is_text(raw), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
+def _plain_text(raw):
+    """The text a field stands for: JSON escapes read, white space around it off."""
+    body = _body(raw)
+    read = F.when(body.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
+    read = F.coalesce(read, body)
+    return F.when(read.rlike(rf"\A{_SPACE}|{_SPACE}\z"), F.regexp_replace(read, rf"\A{_SPACE}+|{_SPACE}+\z", "")).otherwise(read)
+
+
+def _numeric_text(raw):
+    """The digits of numeric text, without underscores between them."""
+    text = _plain_text(raw)
+    return F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+
+
 def _number(raw):
     """A lenient number: numbers, numeric text and booleans."""
-    body = F.trim(_body(raw))
+    body = F.when(_is_text(raw), _numeric_text(raw)).otherwise(raw)
     return (
         F.when(body.rlike(_NUMERIC), body.try_cast("double"))
         .when(raw == "true", F.lit(1.0))
@@ -96,11 +116,13 @@ def utc_timestamp(text):
     iso = F.when(text.rlike(_ZONED), F.upper(iso))
     # A cast knows offsets up to 18 hours; larger ones are taken off by hand.
     far = iso.rlike(r"[+-](1[89]|2[0-3]):[0-5]\d$")
-    return (
+    read = (
         F.when(text.rlike(_PLAIN), text.try_cast("timestamp"))
         .when(far, _far_zone(iso))
         .otherwise(iso.try_cast("timestamp"))
     )
+    inside = lambda t: F.unix_micros(t).between(_FIRST_MICROS, _LAST_MICROS)
+    return F.when(text.rlike(_EDGE), F.get(F.filter(F.array(read), inside), 0)).otherwise(read)
 
 
 def _far_zone(iso):
@@ -115,8 +137,7 @@ def _far_zone(iso):
 
 def _epoch(number):
     seconds = F.when(F.abs(number) <= _SECONDS_LIMIT, number).otherwise(number / 1000.0)
-    # The first second of year 1 and of year 10000.
-    usable = (seconds >= F.lit(-62_135_596_800.0)) & (seconds < F.lit(253_402_300_800.0))
+    usable = (seconds >= F.lit(_FIRST_MICROS / 1e6)) & (seconds < F.lit((_LAST_MICROS + 1) / 1e6))
     return F.when(usable, F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
 
 

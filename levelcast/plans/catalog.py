@@ -14,6 +14,7 @@ from levelcast.metrics import BATTERY, DAY, HOUR, WATER
 from levelcast.operators import alerts, arrivals, classify, forecast, merge, rollups, series
 from levelcast.plans import forecast_pass as passes
 from levelcast.plans import ingest, panels
+from levelcast.plans.rollup_states import RollupStates
 from levelcast.plans.rollup_tables import RollupTable
 from levelcast.session import prepare, scratch_dir, written
 from levelcast.sources import captures, events, messages
@@ -672,6 +673,36 @@ def checkin_staleness(spark, d):
     return staleness.withColumn("band", band)
 
 
+def _states(spark, d, unit):
+    """Rollup states of four batches, the later ones with readings of all days; one fold on the way."""
+    states = RollupStates(_tables(spark, f"states-{unit}"), unit)
+    rows = _readings(spark, d).withColumn("part", F.pmod(F.xxhash64("device_id", "measured_at"), F.lit(4)))
+    for part in range(4):
+        states.fold(fold_every=2)
+        states.add(rows.filter(F.col("part") == part), f"batch-{part}")
+    return states
+
+
+@query
+def rollup_states_daily(spark, d):
+    """The daily rollup merged from states of batches that overlap in time."""
+    return _shown_rollup(_states(spark, d, "day").view())
+
+
+@query
+def envelope_of_states(spark, d):
+    """Water by hour from merged states; days outside the window are not read."""
+    hourly = _states(spark, d, "hour").view(FROM, TO)
+    return _rounded(panels.water_hourly_envelope(hourly, FROM, TO), "water_avg")
+
+
+@query
+def missed_checkins_of_states(spark, d):
+    """Missed check-ins of a window from merged states; the fleet's ends come from its first and last day."""
+    states = _states(spark, d, "hour")
+    return panels.missed_checkins(states.view(FROM, TO), FROM, TO, ends=states.ends())
+
+
 @query
 def water_hourly(spark, d):
     return _rounded(panels.water_hourly(_hourly(spark, d), FROM, TO), "water_avg")

@@ -38,9 +38,13 @@ whole AS (
   SELECT *, event_id % 50 AS damage,
     '{{"schema_version":1,' || CASE WHEN event_id % 50 = 3 THEN ''
       ELSE '"device_id":"' || device_id || '",' END
-    || '"measured_at":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f')
-    || CASE WHEN event_id % 50 = 6 THEN '' ELSE 'Z' END || '","water_level":'
+    || '"measured_at":"' || CASE event_id % 50 WHEN 10 THEN '0000-01-01T00:00:00' WHEN 11 THEN '0001-01-01T00:00:00'
+         ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END
+    || CASE event_id % 50 WHEN 6 THEN '' WHEN 11 THEN '+05:00' ELSE 'Z' END || '","water_level":'
     || CASE event_id % 50 WHEN 2 THEN '"high"' WHEN 7 THEN '150'
+         WHEN 12 THEN '"' || (tenths // 10)::VARCHAR || '.' || (tenths % 10)::VARCHAR || '\\t\\u00a0"'
+         WHEN 13 THEN '"' || left((tenths // 10)::VARCHAR, 1) || '_' || substr((tenths // 10)::VARCHAR, 2)
+           || '.' || (tenths % 10)::VARCHAR || '"'
        ELSE (tenths // 10)::VARCHAR || '.' || (tenths % 10)::VARCHAR END
     || ',"battery_voltage":' || (millis // 1000)::VARCHAR || '.'
     || lpad((millis % 1000)::VARCHAR, 3, '0') || '}}' AS body
@@ -68,6 +72,8 @@ judged AS (
       WHEN 3 THEN 'device_id: Field required'
       WHEN 6 THEN 'measured_at: Input should have timezone info'
       WHEN 7 THEN 'water_level: Input should be less than or equal to 100'
+      WHEN 10 THEN 'measured_at: Input should be a valid datetime'
+      WHEN 11 THEN 'measured_at: Input should be a valid datetime'
     END AS payload_error
   FROM wire
 ),
@@ -408,7 +414,7 @@ def oracle_sql():
           || strftime(received_at, '%Y-%m-%dT%H:%M:%S')
           || CASE WHEN epoch_us(received_at) % 1000000 = 0 THEN ''
              ELSE strftime(received_at, '.%f') END
-          || '+00:00","payload":"' || replace(payload, '"', '\\"') || '"}' AS line FROM wire""",
+          || '+00:00","payload":"' || replace(replace(payload, '\\', '\\\\'), '"', '\\"') || '"}' AS line FROM wire""",
         "capture_bounds": wired
         + """SELECT topic, payload, received_at AS captured_at, arrival_seq FROM wire
           WHERE received_at <= (SELECT min(received_at) FROM wire) + INTERVAL 20 DAY""",
@@ -520,6 +526,13 @@ def oracle_sql():
         # aggregates and rollups
         "telemetry_hourly": base + _rollup("hour"),
         "telemetry_daily": base + _rollup("day"),
+        "rollup_states_daily": base + _rollup("day"),
+        "envelope_of_states": hourly
+        + f"SELECT bucket AS time, device_id, water_avg, water_min, water_max FROM hourly WHERE bucket {_WINDOW}",
+        "missed_checkins_of_states": hourly
+        + f"""SELECT bucket AS time, device_id, greatest(12 - sample_count, 0) AS missed FROM hourly
+          WHERE bucket {_WINDOW} AND bucket > (SELECT date_trunc('hour', min(measured_at)) FROM readings)
+            AND bucket < (SELECT date_trunc('hour', max(measured_at)) FROM readings)""",
         "time_bucket": base
         + """SELECT device_id, measured_at, date_trunc('hour', measured_at)::TIMESTAMP AS hour,
           date_trunc('day', measured_at)::TIMESTAMP AS day,

@@ -96,14 +96,16 @@ def out_of_order_arrivals(telemetry):
     return arrivals.stored_out_of_order(telemetry).agg(F.count(F.lit(1)).alias("out_of_order"))
 
 
-def missed_checkins(hourly, start, end, expected=EXPECTED_PER_HOUR):
+def missed_checkins(hourly, start, end, expected=EXPECTED_PER_HOUR, ends=None):
     """Shortfall per device and full hour; the fleet's first and last hour are left out.
 
-    Those hours are the ends of the rollup itself, so raw readings are not read.
+    `ends` is a one-row (first, last) of the fleet's hours. Without it they are
+    looked up in `hourly`, which is then read as a whole.
     """
+    if ends is None:
+        ends = hourly.agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
     full = _between(hourly, "bucket", start, end).filter(
-        (F.col("bucket") > _scalar(hourly, F.min("bucket")))
-        & (F.col("bucket") < _scalar(hourly, F.max("bucket")))
+        (F.col("bucket") > _scalar(ends, F.min("first"))) & (F.col("bucket") < _scalar(ends, F.max("last")))
     )
     missed = F.greatest(F.lit(expected) - F.col("sample_count"), F.lit(0))
     return full.select(

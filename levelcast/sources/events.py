@@ -52,16 +52,22 @@ def readings(spark, directory):
 def messages(spark, directory):
     """Wire messages: damage by event_id % 50, every 20th emitted twice.
 
-    Damage 8 and 9 are text that would extend a wrapper around the payload.
+    Damage 8 and 9 are text that would extend a wrapper around the payload, 10 and
+    11 times outside the calendar, in year 0 as written and as UTC; 12 and 13 are
+    numbers as text that are valid: with white space and with an underscore.
     """
     rows = _levels(load_events(spark, directory)).withColumn("damage", F.col("event_id") % 50)
     damaged = lambda n: F.col("damage") == n
     at = F.date_format("measured_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    zone = F.when(damaged(6), "").otherwise("Z")
+    at = F.when(damaged(10), "0000-01-01T00:00:00").when(damaged(11), "0001-01-01T00:00:00").otherwise(at)
+    zone = F.when(damaged(6), "").when(damaged(11), "+05:00").otherwise("Z")
+    level = F.expr("concat(tenths div 10, '.', tenths % 10)")
     water = (
         F.when(damaged(2), '"high"')
         .when(damaged(7), "150")
-        .otherwise(F.expr("concat(tenths div 10, '.', tenths % 10)"))
+        .when(damaged(12), F.concat(F.lit('"'), level, F.lit('\\t\\u00a0"')))
+        .when(damaged(13), F.concat(F.lit('"'), F.left(level, F.lit(1)), F.lit("_"), F.substr(level, F.lit(2)), F.lit('"')))
+        .otherwise(level)
     )
     device = F.when(damaged(3), "").otherwise(
         F.concat(F.lit('"device_id":"'), "device_id", F.lit('",'))

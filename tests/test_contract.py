@@ -215,3 +215,28 @@ def test_crossing_guard(spark):
     assert row.never is None and row.flat is None and row.none is None
     assert aware(row.late).year == 2105
     assert aware(row.below) == START
+
+
+def test_times_outside_the_calendar(spark):
+    """Year 0 as written, year 0 or 10000 once in UTC; the edges themselves are times."""
+    times = {
+        "0000-01-01T00:00:00Z": False, "0000-12-31T23:00:00-05:00": False, "0001-01-01T00:00:00+05:00": False,
+        "0001-01-01T00:00:00Z": True, "0001-01-01T06:00:00+05:00": True, "0001-01-01T04:59:59.999999+05:00": False,
+        "9999-12-31T23:59:59.999999Z": True, "9999-12-31T23:00:00-05:00": False, "9999-12-31T18:59:59-05:00": True,
+    }
+    given = [(TOPIC, bytearray(payload(measured_at=t)), START, i) for i, t in enumerate(times)]
+    judged = classify(spark.createDataFrame(given, schemas.MESSAGES))
+    rows = judged.orderBy("arrival_seq").select("outcome", "reason").collect()
+    assert [r.outcome == "reading" for r in rows] == list(times.values())
+    refused = [r.reason for r in rows if r.outcome != "reading"]
+    assert all(r == "invalid payload: measured_at: Input should be a valid datetime" for r in refused)
+
+
+def test_numbers_as_text(spark):
+    """White space of all kinds around a number and underscores between digits are read over."""
+    texts = {
+        '"5\\t"': 5.0, '"\\n 5.5 \\r"': 5.5, '"\\u00a05\\u3000"': 5.0, '"3_5"': 35.0, '"1_0.2_5"': 10.25, '"\\u0035"': 5.0,
+        '"_5"': None, '"5_"': None, '"5__5"': None, '"5 5"': None, '"5._5"': None, '""': None, '"\\t"': None, '"5\\\\t"': None,
+    }
+    rows = outcomes(spark, [(TOPIC, raw("water_level", t)) for t in texts])
+    assert [r.water_level for r in rows] == list(texts.values())
