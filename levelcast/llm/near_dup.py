@@ -15,16 +15,17 @@ How a link is found, without ever pairing up all members of a group:
    no list unless the documents are made of it.
 4. Every class of a list is first paired with the list's leaders: those with the
    fewest values of their own, which copies of a text lie around. Only lists whose
-   members are then still in different components pair those members. No pair is
-   made that sizes, counts of shareable values or the place of the value in both
-   orders rule out: for sets inside the long sketch these bounds are exact.
+   members are then still in different components pair those members, and only in
+   the first list that two of them share. No pair is made that sizes, counts of
+   shareable values or the place of the value in both orders rule out: for sets
+   inside the long sketch these bounds are exact.
 5. A pair is estimated from the union of the two sketches and confirmed on the
    full sets.
 """
 
 import math
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from levelcast.llm.common import lower_ascii, materialize, words_of
 from levelcast.operators.stages import compute_once
@@ -32,6 +33,7 @@ from levelcast.operators.stages import compute_once
 SKETCH = 48
 LONG_SKETCH = 512
 LEADERS = 3
+LOOK_BACK = 8  # earlier values that tell whether two members have met already
 MISS = 1e-9  # chance that a true link shares fewer than t sketch values
 
 
@@ -167,6 +169,26 @@ def components(links, name="near-labels"):
             return labels
 
 
+def mixed_pairs(left, k, percent):
+    """(a, b): members of different components that share a list, at the first list that both are in.
+
+    `left` has the entries of the lists and `before`, the values of the class that
+    stand just before. A pair may come again where a longer stretch parts two
+    values that both members hold.
+    """
+    x, y = left.alias("x"), left.alias("y")
+    fields = ("n", "s", "i")
+    met_first = ~F.arrays_overlap("x.before", "y.before")
+    return x.join(
+        y,
+        (F.col("x.value") == F.col("y.value"))
+        & (F.col("x.c") < F.col("y.c"))
+        & (F.col("x.label") != F.col("y.label"))
+        & met_first
+        & _possible(*[{f: F.col(f"{side}.{f}") for f in fields} for side in "xy"], k, percent),
+    ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+
+
 def links_between(classes, rep_sets, k=SKETCH, long_k=LONG_SKETCH, percent=85, leaders=LEADERS):
     """Links (a, b) that connect the same classes as all links of `percent` or more do.
 
@@ -214,15 +236,12 @@ def links_between(classes, rep_sets, k=SKETCH, long_k=LONG_SKETCH, percent=85, l
     placed = materialize(placed, "near-placed")
     mixed = placed.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
     mixed = materialize(mixed.filter("lo <> hi AND m > 2").select(F.col("value").alias("v")), "near-mixed")
-    left = materialize(placed.join(mixed, F.col("value") == F.col("v"), "left_semi"), "near-left")
-    x, y = left.alias("x"), left.alias("y")
-    others = x.join(
-        y,
-        (F.col("x.value") == F.col("y.value"))
-        & (F.col("x.c") < F.col("y.c"))
-        & (F.col("x.label") != F.col("y.label"))
-        & _possible(*[{f: F.col(f"{side}.{f}") for f in fields} for side in "xy"], long_k, percent),
-    ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    left = placed.join(mixed, F.col("value") == F.col("v"), "left_semi")
+    # Two members meet in every list they share, but are paired at the first: where the values
+    # just before have one in common, an earlier list has both of them.
+    before = Window.partitionBy("c").orderBy("i").rowsBetween(-LOOK_BACK, -1)
+    left = materialize(left.withColumn("before", F.collect_list("value").over(before)), "near-left")
+    others = mixed_pairs(left, long_k, percent)
     others = materialize(others.distinct().join(pairs, ["a", "b"], "left_anti"), "near-others")
     more = _confirm(_keep_likely(others, sketches, k, percent), sets, percent)
     links = materialize(star_links.unionAll(more), "near-all-links")

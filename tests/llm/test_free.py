@@ -69,6 +69,18 @@ def test_near_duplicates_equal_all_pairs(spark, width, percent):
     assert all(r["kept"] == r["representative"] for r in got)
 
 
+def test_members_that_are_not_linked_meet_once(spark, monkeypatch):
+    """Variants of one text, none near enough to another: pair rows stay near the number of pairs."""
+    rng, base, found = random.Random(5), prose(3, 300, 2000), {}
+    rows = [(i, edited(base, rng, 0.035)) for i in range(60)]
+    own = near_dup.mixed_pairs
+    monkeypatch.setattr(near_dup, "mixed_pairs", lambda *a: found.setdefault("pairs", own(*a)))
+    got = near_dup.near_duplicates(docs_of(spark, rows), 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(rows, 3, 85)
+    pairs = found["pairs"]
+    assert 0 < pairs.count() <= 3 * pairs.distinct().count()
+
+
 def test_a_large_group_makes_few_pairs(spark):
     rng, base = random.Random(3), prose(5, 150)
     rows = [(i, edited(base, rng, 0.01)) for i in range(400)]
