@@ -47,38 +47,42 @@ def chunk_lines(docs, window=WINDOW, divisor=DIVISOR, keep=()):
 
 
 def repeated_chunks(docs, window=WINDOW, divisor=DIVISOR):
-    """(doc_id, text_hash, chunk): every later occurrence of a chunk of two lines or more.
+    """(doc_id, text_hash, found): per document its chunks of two lines or more that stand elsewhere too.
 
-    Chunks are grouped by a 128-bit digest first, so that only repeated ones carry
-    their text through a shuffle; a group's occurrences are then compared with its
-    first one byte for byte. Occurrences of a hot chunk are joined to one row,
-    which leaves the join free to split them.
+    `found` holds (chunk, digest, original): the number of the chunk, its 128-bit
+    digest, and whether this is its first place. Only digests and places are shuffled;
+    the places of a hot chunk are joined to one row, which leaves the join free to
+    split them.
     """
     exploded = chunk_lines(docs, window, divisor).select(
         "doc_id", "text_hash", F.posexplode("chunks").alias("chunk", "lines")
     )
     several = exploded.filter((F.size("lines") >= 2) & F.exists("lines", lambda line: line.rlike(WORD)))
-    body = F.array_join("lines", "\n")
-    places = several.select("doc_id", "text_hash", "chunk", body.alias("body")).withColumn(
-        "digest", F.unhex(F.md5("body"))
-    )
-    where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "chunk")
-    places = places.withColumn("place", where)
-    first = places.groupBy("digest").agg(
-        F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")
-    )
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "chunk")
+    digest = F.unhex(F.md5(F.array_join("lines", "\n")))
+    places = materialize(several.select(digest.alias("digest"), place.alias("place")), "chunk-places")
+    first = places.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
     # A row repeated as a whole is one place; it has nothing earlier to give way to.
-    first = materialize(first.filter("n > 1 AND first <> last").select("digest", "first"), "chunk-firsts")
-    repeated = materialize(
-        places.join(first, "digest").select("digest", "place", "first", "body"), "chunk-repeats"
-    )
-    originals = repeated.filter(F.col("place") == F.col("first")).select(
-        F.col("digest").alias("o_digest"), F.col("body").alias("original")
-    )
+    first = first.filter("first <> last").select(F.col("digest").alias("f_digest"), "first")
+    first = materialize(first, "chunk-firsts")
+    repeated = places.join(first, F.col("digest") == F.col("f_digest"))
+    original = (F.col("place") == F.col("first")).alias("original")
+    repeated = repeated.select("place.doc_id", "place.text_hash", F.struct("place.chunk", "digest", original).alias("x"))
+    return repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("x").alias("found"))
+
+
+def differing_chunks(marked, window=WINDOW, divisor=DIVISOR):
+    """(doc_id, text_hash, differ): chunks of `found` whose bytes are not those of their first place."""
+    chunked = chunk_lines(marked.filter("found IS NOT NULL"), window, divisor, keep=("found",))
+    body = F.array_join(F.get("chunks", F.col("x.chunk")), "\n").alias("body")
+    bodies = chunked.select("doc_id", "text_hash", "chunks", F.explode("found").alias("x"))
+    bodies = bodies.select("doc_id", "text_hash", "x.chunk", "x.digest", "x.original", body)
+    originals = bodies.filter("original").select(F.col("digest").alias("o_digest"), F.col("body").alias("o_body"))
+    # Written, so that the join below can split the places of a hot chunk.
     originals = materialize(originals.dropDuplicates(["o_digest"]), "chunk-originals")
-    later = repeated.filter(F.col("place") != F.col("first"))
-    same = later.join(originals, (F.col("digest") == F.col("o_digest"))).filter(F.col("body") == F.col("original"))
-    return same.select("place.doc_id", "place.text_hash", "place.chunk")
+    later = bodies.filter("NOT original").join(originals, F.col("digest") == F.col("o_digest"))
+    differ = later.filter("body <> o_body").groupBy("doc_id", "text_hash").agg(F.collect_set("chunk").alias("differ"))
+    return materialize(differ.withColumnsRenamed({"doc_id": "d_id", "text_hash": "d_hash"}), "chunk-differences")
 
 
 def dedup_lines(docs, window=WINDOW, divisor=DIVISOR):
@@ -92,16 +96,23 @@ def dedup_lines(docs, window=WINDOW, divisor=DIVISOR):
     in doc_id and text are one place and are cleaned alike. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    gone = repeated_chunks(docs, window, divisor).groupBy("doc_id", "text_hash").agg(
-        F.collect_set("chunk").alias("gone")
-    )
-    gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone")
+    found = repeated_chunks(docs, window, divisor).withColumnsRenamed({"doc_id": "g_id", "text_hash": "g_hash"})
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    joined = texts.join(
-        gone, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left"
-    ).select("doc_id", "text", "gone")
+    # The one shuffle of whole texts. `found` grows with the corpus: merged at every size.
+    marked = texts.join(
+        found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("text_hash") == F.col("g_hash")), "left"
+    )
+    marked = materialize(marked.select("doc_id", "text", "text_hash", "found"), "chunk-texts")
+    # Equal digests of different bytes are next to none: only those are joined back.
+    differ = differing_chunks(marked, window, divisor)
+    joined = marked.join(
+        differ, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_hash") == F.col("d_hash")), "left"
+    )
     none = F.array().cast("array<int>")
-    chunked = chunk_lines(joined.withColumn("gone", F.coalesce("gone", none)), window, divisor, keep=("gone",))
+    differs = F.coalesce("differ", none)
+    gone = F.filter("found", lambda x: ~x["original"] & ~F.array_contains(differs, x["chunk"]))
+    gone = F.coalesce(F.transform(gone, lambda x: x["chunk"]), none)
+    chunked = chunk_lines(joined.select("doc_id", "text", gone.alias("gone")), window, divisor, keep=("gone",))
     kept = F.filter("chunks", lambda _, k: ~F.array_contains("gone", k))
     chunked = chunked.withColumn("kept", F.flatten(kept))
     return chunked.select(
