@@ -18,6 +18,9 @@ MIN_CHI2 = 30.0
 FULL_CHI2 = 120.0  # chi-square from which a term has the whole boost
 BOOST = 20.0  # most that label strength can multiply the weight of a term by
 NEIGHBOURS = 15
+BLOCK = 16  # texts of a block
+LONG = 8  # lists of more than 1 / LONG of the texts are kept in blocks
+MEMORY = 200_000  # words whose terms are remembered
 PER_CLASS = 2500
 MAX_BYTES = 24_000_000
 
@@ -59,16 +62,73 @@ def strengths(bags, ys, weights):
     return dict(zip(numbers, factors.tolist()))
 
 
+class TermReader:
+    """Numbers and counts of a text's terms; the terms of a word are looked up once per word.
+
+    Terms outside the vocabulary have numbers from its size on, good for one text
+    only: the words seen are forgotten between two texts when they are too many.
+    """
+
+    def __init__(self, vocabulary, memory=MEMORY):
+        self.vocabulary, self.memory, self.words, self.others = vocabulary, memory, {}, {}
+
+    def terms_of(self, word):
+        found = []
+        for term in [word] + [word[:k] + "-" for k in STEMS if len(word) > k]:
+            number = self.vocabulary.get(term)
+            if number is None:
+                number = self.others.setdefault(term, len(self.vocabulary) + len(self.others))
+            found.append(number)
+        return tuple(found)
+
+    def read(self, text):
+        if len(self.words) > self.memory:
+            self.words, self.others = {}, {}
+        counts, numbers, sizes = Counter(TOKEN.findall(text.lower())), [], []
+        for word in counts:
+            found = self.words.get(word)
+            if found is None:
+                found = self.words[word] = self.terms_of(word)
+            numbers += found
+            sizes.append(len(found))
+        numbers, places = np.unique(np.array(numbers, dtype=np.int64), return_inverse=True)
+        times = np.repeat(np.array(list(counts.values()), dtype=float), sizes)
+        return numbers, np.bincount(places, times, len(numbers))
+
+
+def similar_order(at, held, weights, n, size, directions=24):
+    """Order of texts in which similar ones stand together: halved by the main direction of random projections."""
+    rng, seen = np.random.default_rng(7), np.zeros((n, directions))
+    terms_seen = int(at.max()) + 1 if len(at) else 0
+    for k in range(directions):
+        seen[:, k] = np.bincount(held, weights * rng.standard_normal(terms_seen)[at], n)
+    done, parts = [], [np.arange(n)]
+    while parts:
+        part = parts.pop()
+        if len(part) <= size:
+            done.append(part)
+            continue
+        middle = seen[part] - seen[part].mean(0)
+        main = np.linalg.svd(middle, full_matrices=False)[2][0]
+        part = part[np.argsort(middle @ main, kind="stable")]
+        half = -(-len(part) // (2 * size)) * size  # whole blocks on the left
+        parts += [part[half:], part[:half]]
+    return np.concatenate(done or [np.zeros(0, np.int64)])
+
+
 class BlockMaxIndex:
-    """Inverted lists of all terms of the sampled texts, each list one stretch of flat arrays.
+    """Inverted lists of all terms of the sampled texts, the long ones in blocks with their maxima.
 
-    A whole text shares common words with nearly every block of texts, so bounds of
-    blocks would rule none out: the lists of a query are added up in one pass. The
-    result is the exact top k. Terms that no sampled text has count in the length
-    of a query.
+    Similar texts share a block of BLOCK texts. A list is long when it holds more than
+    n / LONG texts; it keeps its weights block by block and the largest one of each
+    block. A query adds up its short lists. What the long ones can add to a text is
+    bounded by the maxima of its block and by the length of its part in them. Texts
+    are taken from the highest bound on; those that cannot reach the k-th best stay
+    closed. The result is the exact top k. Terms that no sampled text has count in the
+    length of a query.
     """
 
-    def __init__(self, vocabulary, bags, ids, ys, factors=None):
+    def __init__(self, vocabulary, bags, ids, ys, factors=None, block=BLOCK, long=LONG):
         self.vocabulary = {t: i for i, t in enumerate(vocabulary)}
         # `bags` is read once: all bags at a time would be many times the size of the lists.
         rows = [
@@ -87,37 +147,85 @@ class BlockMaxIndex:
         held = np.repeat(np.arange(n, dtype=np.int32), sizes)
         w = (1.0 + np.log(counts)) * self.idf[at]
         w /= np.sqrt(np.bincount(held, w * w, n))[held]
-        order = np.argsort(at, kind="stable")
-        self.places, self.weights = held[order], w[order]
-        self.starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+        self.block, blocks = block, -(-n // block)
+        self.order = similar_order(at, held, w, n, block)
+        self.slot = np.argsort(self.order)
+        spot = self.slot[held]
+        is_long = df * long > n
+        self.row = np.where(is_long, np.cumsum(is_long) - 1, -1)
+        wide = is_long[at]
+        dense = np.zeros((blocks * block, int(is_long.sum())))
+        dense[spot[wide], self.row[at[wide]]] = w[wide]
+        self.dense = dense
+        self.coarse = dense.astype(np.float32)
+        self.maxima = np.ascontiguousarray(dense.reshape(blocks, block, dense.shape[1]).max(1).T)
+        self.norms = np.sqrt((dense * dense).sum(1)).reshape(blocks, block)
+        short = np.nonzero(~wide)[0]
+        short = short[np.argsort(at[short], kind="stable")]
+        self.places, self.weights = spot[short], w[short]
+        self.starts = np.concatenate([[0], np.cumsum(np.where(is_long, 0, df))]).astype(np.int64)
+        self.opened = 0  # texts whose long lists were read so far
 
     def vector(self, bag):
         """Numbers and weights of the known terms; over all terms the weights have unit length."""
-        numbers = np.array([self.vocabulary.get(t, -1) for t in bag], dtype=np.int64)
+        numbers = np.array([self.vocabulary.get(t, len(self.vocabulary)) for t in bag], dtype=np.int64)
+        return self.weigh(numbers, np.array(list(bag.values()), dtype=float))
+
+    def weigh(self, numbers, counts):
         if not len(numbers):
             return numbers, np.zeros(0)
-        known = numbers >= 0
+        known = numbers < len(self.vocabulary)
         idf = np.full(len(numbers), math.log(1 + self.n) + 1.0)
         idf[known] = self.idf[numbers[known]]
-        w = (1.0 + np.log(np.array(list(bag.values()), dtype=float))) * idf
+        w = (1.0 + np.log(counts)) * idf
         return numbers[known], w[known] / math.sqrt(float(w @ w))
 
+    def bounds(self, at, w):
+        """By block and place: sums over the short lists, and bounds of the cosines. Also the weights of the long lists."""
+        rows = self.row[at]
+        wide = rows >= 0
+        short, w_short = at[~wide], w[~wide]
+        sizes = self.starts[short + 1] - self.starts[short]
+        before = np.cumsum(sizes) - sizes
+        entries = np.arange(int(sizes.sum())) + np.repeat(self.starts[short] - before, sizes)
+        sums = np.bincount(self.places[entries], self.weights[entries] * np.repeat(w_short, sizes), self.norms.size)
+        sums = sums.reshape(self.norms.shape)
+        query = np.zeros(self.dense.shape[1])
+        query[rows[wide]] = w[wide]
+        most = np.einsum("i,ij->j", w[wide], self.maxima[rows[wide]])  # no BLAS: its threads cost more than the sums
+        return sums, query, sums + np.minimum(most[:, None], self.norms * math.sqrt(float(query @ query)))
+
     def nearest(self, bag, k=NEIGHBOURS, leave_out=None):
         """(cosine, position) of the k nearest with a cosine above zero, best first; ties by position."""
-        at, w = self.vector(bag)
+        return self.search(*self.vector(bag), k, leave_out)
+
+    def search(self, at, w, k=NEIGHBOURS, leave_out=None):
         if not len(at):
             return []
-        sizes = self.starts[at + 1] - self.starts[at]
-        before = np.cumsum(sizes) - sizes
-        entries = np.arange(int(sizes.sum())) + np.repeat(self.starts[at] - before, sizes)
-        sums = np.bincount(self.places[entries], self.weights[entries] * np.repeat(w, sizes), minlength=self.n)
-        if leave_out is not None:
-            sums[leave_out] = 0.0
-        hits = np.nonzero(sums > 0)[0]
-        if len(hits) > k:
-            hits = hits[sums[hits] >= np.partition(sums[hits], -k)[-k]]
-        hits = hits[np.lexsort((hits, -sums[hits]))][:k]
-        return [(float(sums[p]), int(p)) for p in hits]
+        sums, query, bound = (x.ravel() for x in self.bounds(at, w))
+        out = -1 if leave_out is None else int(self.slot[leave_out])
+
+        def cosines_of(slots):
+            cosines = sums[slots] + np.einsum("ij,j->i", self.dense[slots], query)
+            cosines[slots == out] = 0.0
+            some = cosines > 0
+            return cosines[some], self.order[slots[some]]
+
+        # The highest bounds first: their k-th best rules out most of the rest.
+        first = np.zeros(len(bound), dtype=bool)
+        first[np.argpartition(-bound, 2 * k)[: 2 * k] if len(bound) > 2 * k else slice(None)] = True
+        self.opened += int(first.sum())
+        cosines, hits = cosines_of(np.nonzero(first)[0])
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        rest = np.nonzero((bound >= least - 1e-9) & (bound > 0) & ~first)[0]
+        # Single precision errs by less than 1e-5 here.
+        self.opened += len(rest)
+        rest = rest[sums[rest] + np.einsum("ij,j->i", self.coarse[rest], query.astype(np.float32)) >= least - 1e-5]
+        if len(rest):
+            more, places = cosines_of(rest)
+            cosines, hits = np.concatenate([cosines, more]), np.concatenate([hits, places])
+        best = np.lexsort((hits, -np.round(cosines, 12)))[:k]  # sums of equal texts may differ in the last bits
+        return list(zip(cosines[best].tolist(), hits[best].tolist()))
 
     def vote(self, near):
         """Features of a vote: weighted share of toxic neighbours, its certainty, the best cosine."""
@@ -158,7 +266,7 @@ def fit(sample, counts):
 EVIDENCE = "struct<score:double,neighbours:array<struct<doc_id:bigint,cosine:double,toxic:int>>>"
 
 
-def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES, evidence=5):
+def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES):
     """The probability that a text is toxic, with the labelled texts that say so.
 
     Terms are all words and word beginnings; those that go with the label in a bounded
@@ -168,7 +276,7 @@ def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES,
     the sample's own reach, so a text that the sample holds itself is not extrapolated. A text that
     shares no term with the sample has no neighbours and gets the toxic share of such texts.
 
-    Returns doc_id, score, neighbours (doc_id, cosine, label), one row per input
+    Returns doc_id, score, neighbours (doc_id, cosine, label: those that voted), one row per input
     row, every text read whole. NULL texts score like ''. Repeated rows score
     alike; a NULL doc_id is scored. With no usable labels every score is the
     smoothed prior. Extra columns are ignored. Scoring shuffles nothing.
@@ -183,14 +291,15 @@ def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES,
     @F.pandas_udf(EVIDENCE)
     def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index, model, none = shared.value
+        reader = TermReader(index.vocabulary)
         for batch in texts:
-            near = [index.nearest(terms(t or "")) for t in batch]
+            near = [index.search(*index.weigh(*reader.read(t or ""))) for t in batch]
             scores = np.full(len(near), none)
             pick = [i for i, found in enumerate(near) if found] if model else []
             if pick:
                 scores[pick] = logistic(model, np.clip([index.vote(near[i]) for i in pick], *index.limits))
             shown = [
-                [{"doc_id": int(index.ids[p]), "cosine": s, "toxic": int(index.ys[p])} for s, p in found[:evidence]]
+                [{"doc_id": int(index.ids[p]), "cosine": s, "toxic": int(index.ys[p])} for s, p in found]
                 for found in near
             ]
             yield pd.DataFrame({"score": scores, "neighbours": shown})

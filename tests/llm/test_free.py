@@ -8,6 +8,7 @@ import sys
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 from helpers import awkward, docs_of, prose
 from pyspark.sql import functions as F
@@ -204,6 +205,31 @@ def test_block_max_search_is_exact():
         assert [round(s, 9) for s, _ in got] == [round(s, 9) for s in want if s > 0]
 
 
+def test_block_bounds_hold_and_close_texts():
+    """No cosine exceeds its bound; most texts of other themes stay closed; terms read word by word are the terms."""
+    texts = [prose(i, 40).replace("w", f"theme{i % 8}x") + " the of and" for i in range(400)]
+    bags = [toxicity.terms(t) for t in texts]
+    vocabulary = sorted(set().union(*bags))
+    index = toxicity.BlockMaxIndex(vocabulary, bags, list(range(400)), [0] * 400, block=8, long=16)
+    assert index.dense.shape[1] >= 3
+    reader = toxicity.TermReader(index.vocabulary, memory=100)
+    vectors = [dict(zip(*map(list, index.vector(b)))) for b in bags]
+    for at in range(0, 400, 10):
+        numbers, counts = reader.read(texts[at] + " unheard unheardof")
+        bag = toxicity.terms(texts[at] + " unheard unheardof")
+        assert sorted(counts) == sorted(bag.values()) and len(numbers) == len(bag)
+        query = index.weigh(numbers, counts)
+        q = dict(zip(*map(list, query)))
+        cosines = np.array([sum(w * v.get(t, 0.0) for t, w in q.items()) for v in vectors])
+        bound = index.bounds(*query)[2].ravel()
+        assert (cosines <= bound[index.slot] + 1e-9).all()
+        found = index.search(*query)
+        assert [s for s, _ in found] == pytest.approx(sorted(cosines, reverse=True)[:15])
+        others = index.search(*query, leave_out=at)
+        assert at not in [p for _, p in others] and others[:14] == [x for x in found if x[1] != at][:14]
+    assert index.opened < 80 * 400 / 2
+
+
 def test_neighbours_by_all_terms(spark):
     """A text without any word that goes with the label still finds its near copy, by the plain cosine."""
     rude = [(100 + i, prose(i, 60) + (" you fool" if i % 2 else " dear friend")) for i in range(60)]
