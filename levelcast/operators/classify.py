@@ -41,8 +41,8 @@ _NON_FINITE = r"(?i)^[+-]?(nan|inf|infinity)$"
 _DATE = r"(?!0000)\d{4}-\d{2}-\d{2}"
 _CLOCK = r"\d{2}:\d{2}(:\d{2}([.,]\d+)?)?"
 _ZONED = rf"\A{_DATE}[Tt _]{_CLOCK}([Zz]|[+-]\d{{2}}:?\d{{2}})\z"
-# What devices normally send, and a cast reads as it stands.
-_PLAIN = rf"\A{_DATE}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d{{1,6}})?Z\z"
+# What devices and captures normally hold, and a cast reads as it stands: offsets below 18 hours.
+_PLAIN = rf"\A{_DATE}T\d{{2}}:\d{{2}}:\d{{2}}(\.\d{{1,6}})?(Z|[+-](0\d|1[0-7]):[0-5]\d)\z"
 _ZONELESS = rf"\A{_DATE}([Tt _]{_CLOCK})?\z"
 # The first and last days there are, on which an offset may lead out of the calendar.
 _EDGE = r"\A(0001-01-01|9999-12-31)"
@@ -68,23 +68,36 @@ def _body(raw):
     return F.when(_is_text(raw), F.substr(raw, F.lit(2), F.length(raw) - 2)).otherwise(raw)
 
 
-def _plain_text(raw):
-    """The text a field stands for: JSON escapes read, white space around it off."""
-    body = _body(raw)
-    read = F.when(body.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
-    read = F.coalesce(read, body)
-    return F.when(read.rlike(rf"\A{_SPACE}|{_SPACE}\z"), F.regexp_replace(read, rf"\A{_SPACE}+|{_SPACE}+\z", "")).otherwise(read)
+def _with_numbers(df, **fields):
+    """Lenient numbers of raw fields: numbers, numeric text and booleans, under the names given.
 
+    Step by step, each in a column of its own: JSON escapes read, white space around it
+    off, underscores between digits out.
+    """
+    names = {name: f"_digits_{name}" for name in fields}
+    at = lambda name: F.col(names[name])
+
+    def read(raw):
+        body = _body(raw)
+        escaped = F.when(body.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v"))
+        return F.when(_is_text(raw), F.coalesce(escaped, body)).otherwise(raw)
+
+    def trimmed(text):
+        bare = F.regexp_replace(text, rf"\A{_SPACE}+|{_SPACE}+\z", "")
+        return F.when(text.rlike(rf"\A{_SPACE}|{_SPACE}\z"), bare).otherwise(text)
+
+    def joined(text):
+        return F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
 
-def _numeric_text(raw):
-    """The digits of numeric text, without underscores between them."""
-    text = _plain_text(raw)
-    return F.when(text.contains("_"), F.regexp_replace(text, r"(?<=\d)_(?=\d)", "")).otherwise(text)
+    kept = df.columns
+    df = compute_once(df, **{names[n]: read(raw) for n, raw in fields.items()})
+    for step in (trimmed, joined):
+        done = {names[n]: F.when(_is_text(raw), step(at(n))).otherwise(at(n)) for n, raw in fields.items()}
+        df = compute_once(df, kept, **done)
+    return compute_once(df, kept, **{n: _number(raw, at(n)) for n, raw in fields.items()})
 
 
-def _number(raw):
-    """A lenient number: numbers, numeric text and booleans."""
-    body = F.when(_is_text(raw), _numeric_text(raw)).otherwise(raw)
+def _number(raw, body):
     return (
         F.when(body.rlike(_NUMERIC), body.try_cast("double"))
         .when(raw == "true", F.lit(1.0))
@@ -104,25 +117,48 @@ def _number_error(raw, value, bounds):
 
 
 def utc_timestamp(text):
-    """TIMESTAMP of ISO text that carries an offset; NULL for any other text.
+    """TIMESTAMP of ISO text that carries an offset; NULL for any other text."""
+    read = _instant(_iso(text))
+    inside = lambda t: F.unix_micros(t).between(_FIRST_MICROS, _LAST_MICROS)
+    return F.when(text.rlike(_EDGE), F.get(F.filter(F.array(read), inside), 0)).otherwise(read)
+
 
-    The text is brought to the one form a cast reads: a chain in which each step
-    uses the one before it once, so the generated code stays small.
+def with_utc(df, **texts):
+    """`utc_timestamp` of text columns under the names given, step by step in columns of their own.
+
+    Generated code then stays short enough for the JVM to compile it, which it does not
+    do for methods of more than 8,000 bytes, and there is none for a function over an array.
+    """
+    kept = df.columns
+    df = compute_once(df, **{f"_iso_{name}": _iso(F.col(text)) for name, text in texts.items()})
+    read = {f"_iso_{name}": _instant(F.col(f"_iso_{name}")) for name in texts}
+    df = compute_once(df, kept, **read)
+
+    def inside(name, text):
+        instant = F.col(f"_iso_{name}")
+        outside = F.col(text).rlike(_EDGE) & ~F.unix_micros(instant).between(_FIRST_MICROS, _LAST_MICROS)
+        return F.when(~F.coalesce(outside, F.lit(False)), instant)
+
+    return compute_once(df, kept, **{name: inside(name, text) for name, text in texts.items()})
+
+
+def _iso(text):
+    """The one form of a zoned ISO text that a cast reads; NULL for any other text.
+
+    A chain in which each step uses the one before it once, so the generated code
+    stays small.
     """
     iso = F.regexp_replace(text, r"^(.{10})[t _]", "$1T")
     iso = F.regexp_replace(iso, r"^(.{11}\d{2}:\d{2})(?!:)", "$1:00")
     iso = F.regexp_replace(iso, r"[.,](\d{1,6})\d*", ".$1")
     iso = F.regexp_replace(iso, r"([+-]\d{2}):?(\d{2})$", "$1:$2")
-    iso = F.when(text.rlike(_ZONED), F.upper(iso))
-    # A cast knows offsets up to 18 hours; larger ones are taken off by hand.
+    return F.when(text.rlike(_PLAIN), text).when(text.rlike(_ZONED), F.upper(iso))
+
+
+def _instant(iso):
+    """A cast knows offsets up to 18 hours; larger ones are taken off by hand."""
     far = iso.rlike(r"[+-](1[89]|2[0-3]):[0-5]\d$")
-    read = (
-        F.when(text.rlike(_PLAIN), text.try_cast("timestamp"))
-        .when(far, _far_zone(iso))
-        .otherwise(iso.try_cast("timestamp"))
-    )
-    inside = lambda t: F.unix_micros(t).between(_FIRST_MICROS, _LAST_MICROS)
-    return F.when(text.rlike(_EDGE), F.get(F.filter(F.array(read), inside), 0)).otherwise(read)
+    return F.when(far, _far_zone(iso)).otherwise(iso.try_cast("timestamp"))
 
 
 def _far_zone(iso):
@@ -141,11 +177,18 @@ def _epoch(number):
     return F.when(usable, F.timestamp_micros(F.rint(seconds * 1e6).cast("bigint")))
 
 
-def _time(raw):
-    """An instant: zoned ISO text or Unix seconds."""
-    body = F.trim(_body(raw))
-    return F.when(body.rlike(_NUMERIC), _epoch(body.try_cast("double"))).when(
-        _is_text(raw), utc_timestamp(_body(raw))
+def _with_time(df, name, raw):
+    """An instant under the name given: zoned ISO text or Unix seconds."""
+    kept, body = df.columns, F.trim(_body(raw))
+    df = compute_once(
+        df,
+        _seconds=F.when(body.rlike(_NUMERIC), body.try_cast("double")),
+        _text=F.when(_is_text(raw), _body(raw)),
+    )
+    df = with_utc(df, _zoned="_text")
+    seconds = F.col("_seconds")
+    return compute_once(
+        df, kept, **{name: F.when(seconds.isNotNull(), _epoch(seconds)).otherwise(F.col("_zoned"))}
     )
 
 
@@ -212,41 +255,35 @@ def parse_payload(messages):
         parsed, inputs, _document=document_error, **{f"_{f}": F.to_json(p[f]) for f in _FIELDS}
     )
     version, device, at, water, battery = (F.col(f"_{f}") for f in _FIELDS)
-    values = compute_once(
-        leaves,
-        payload_device_id=F.when(_is_text(device), _body(device)),
-        measured_at=_time(at),
-        water_level=_number(water),
-        battery_voltage=_number(battery),
-    )
-    checks = (
-        _located("schema_version", _version_error(version)),
-        _located("device_id", _device_error(device)),
-        _located("measured_at", _time_error(at, F.col("measured_at"))),
-        _located("water_level", _number_error(water, F.col("water_level"), wire.WATER_RANGE)),
-        _located(
-            "battery_voltage",
-            _number_error(battery, F.col("battery_voltage"), wire.BATTERY_RANGE),
-        ),
-    )
-    # Sound payloads, nearly all of them, skip the wording of the checks.
+    timed = _with_time(leaves, "measured_at", at)
+    values = _with_numbers(timed, water_level=water, battery_voltage=battery)
+    values = compute_once(values, payload_device_id=F.when(_is_text(device), _body(device)))
+    # Sound payloads, nearly all of them, skip the wording of the checks. Stages keep the
+    # generated methods short: the JVM never compiles one of more than 8,000 bytes.
     sound = (
-        _version_error(version).isNull()
+        F.col("_document").isNull()
+        & _version_error(version).isNull()
         & _device_error(device).isNull()
         & F.col("measured_at").isNotNull()
         & wire.in_range("water_level", wire.WATER_RANGE)
         & wire.in_range("battery_voltage", wire.BATTERY_RANGE)
     )
-    error = (
-        F.when(F.col("_document").isNotNull(), _located("payload", F.col("_document")))
-        .when(sound, F.lit(None).cast("string"))
-        .otherwise(condense(checks))
-    )
-    return compute_once(
-        values,
-        [*inputs, "payload_device_id", "measured_at", "water_level", "battery_voltage"],
-        payload_error=error,
+    read = [*inputs, "payload_device_id", "measured_at", "water_level", "battery_voltage"]
+    judged = compute_once(values, _sound=F.coalesce(sound, F.lit(False)))
+    checks = {
+        "schema_version": _version_error(version),
+        "device_id": _device_error(device),
+        "measured_at": _time_error(at, F.col("measured_at")),
+        "water_level": _number_error(water, F.col("water_level"), wire.WATER_RANGE),
+        "battery_voltage": _number_error(battery, F.col("battery_voltage"), wire.BATTERY_RANGE),
+    }
+    faulty = ~F.col("_sound") & F.col("_document").isNull()
+    for field, error in checks.items():
+        judged = compute_once(judged, **{f"_{field}_error": F.when(faulty, _located(field, error))})
+    error = F.when(F.col("_document").isNotNull(), _located("payload", F.col("_document"))).when(
+        faulty, condense([F.col(f"_{field}_error") for field in checks])
     )
+    return compute_once(judged, read, payload_error=error)
 
 
 def mismatch_reason(topic_id, payload_id):

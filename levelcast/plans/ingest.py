@@ -4,22 +4,24 @@ from pyspark.sql import functions as F
 
 from levelcast.operators import arrivals as ops
 from levelcast.operators.classify import classify, dead_letters_of, readings_of
-from levelcast.session import scratch_tables
+from levelcast.session import scratch_tables, spread
 from levelcast.sources import captures
 
 
-def ingest_batch(tables, messages, batch, after=None):
+def ingest_batch(tables, messages, batch, after=None, dealt=False):
     """Classify one batch of messages and bring every state table up to date.
 
     The registry goes first, so no reading exists without its device. A retry
     under the same batch name sees the tables as they were before its first try:
     logs replace the batch's own rows and own telemetry rows are set apart.
-    `after` is called with the batch's readings once they are stored.
+    `after` is called with the batch's readings once they are stored. Messages are
+    dealt over all cores first, unless they are `dealt` already: a batch of one file
+    would be parsed by one or two.
     """
     with scratch_tables(tables.spark, "ingest") as write:
         # The payload is parsed once; only dead letters still need it.
         rejected = F.col("outcome") == "dead_letter"
-        judged_once = classify(messages).withColumn("payload", F.when(rejected, F.col("payload")))
+        judged_once = classify(messages if dealt else spread(messages)).withColumn("payload", F.when(rejected, F.col("payload")))
         classified = write(judged_once, "classified")
         valid = readings_of(classified)
         seen = tables.devices(without=batch)
@@ -58,4 +60,4 @@ def _stored(tables, valid, batch):
 def replay_window(tables, path, batch):
     """Run a captured window through the ingest path, byte for byte."""
     records = captures.read_capture(tables.spark, path)
-    return ingest_batch(tables, captures.replay_messages(records), batch)
+    return ingest_batch(tables, captures.replay_messages(records), batch, dealt=True)

@@ -10,6 +10,7 @@ time, as many at once as pile up, so a state is rewritten once per level.
 from pyspark.sql import functions as F, types as T
 
 from levelcast.functions.timecols import time_bucket
+from levelcast.session import empty
 
 _READY, _INPUTS, _FOLD = "_ready", "_inputs", "fold-"
 
@@ -87,7 +88,7 @@ class RollupStates:
     def _read(self, pieces):
         paths = [p for p in (f"{self.path}/piece={n}" for n in pieces) if self._days(p)]
         if not paths:
-            return self.tables.spark.createDataFrame([], STATE)
+            return empty(self.tables.spark, STATE)
         return self.tables.spark.read.schema(STATE).option("basePath", self.path).parquet(*paths)
 
     def _days(self, path):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F, types as T
 from levelcast import schemas
 from levelcast.functions.timecols import time_bucket
 from levelcast.operators.rollups import KEY_FORMAT, POLICIES, WIDTH_SECONDS, rollup, rollup_realtime
+from levelcast.session import empty
 
 
 class RollupTable:
@@ -23,7 +24,7 @@ class RollupTable:
             schemas.ROLLUP.fields + [T.StructField("bucket_key", T.StringType())]
         )
         if not self.tables.exists(self.path):
-            return self.tables.spark.createDataFrame([], schema)
+            return empty(self.tables.spark, schema)
         return self.tables.spark.read.schema(schema).parquet(self.path)
 
     def boundary(self):

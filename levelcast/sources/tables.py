@@ -15,7 +15,7 @@ from levelcast import schemas
 from levelcast.functions.timecols import utc
 from levelcast.operators.arrivals import merge_registry
 from levelcast.operators.merge import latest_per_key, with_outcomes
-from levelcast.session import written
+from levelcast.session import empty, written
 
 _READY = "_ready"
 
@@ -72,7 +72,7 @@ class Tables:
             schemas.TELEMETRY.fields + [T.StructField("measured_date", T.DateType())]
         )
         if not self.exists(self.path("telemetry")):
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         rows = self.spark.read.schema(schema).parquet(self.path("telemetry"))
         return prune(rows, since, days)
 
@@ -120,7 +120,7 @@ class Tables:
         schema = T.StructType(LOGS[name].fields + [T.StructField("batch", T.StringType())])
         path = self._log_path(name)
         if not any(child.startswith("batch=") for child in self.children(path)):
-            return self.spark.createDataFrame([], schema)
+            return empty(self.spark, schema)
         rows = self.spark.read.schema(schema).parquet(path)
         return rows if without is None else rows.filter(F.col("batch") != without)
 
