@@ -5,6 +5,7 @@ from pyspark.sql import Window, functions as F
 from levelcast.functions.timecols import MICROS, iso_offset, seconds_between
 from levelcast.operators import classify, series
 from levelcast.operators.stages import compute_once
+from levelcast.session import spread
 
 _FIELDS = ("topic", "captured_at", "payload", "payload_b64")
 # A line is the first of exactly two elements of an array; see operators/classify.py.
@@ -51,38 +52,47 @@ def decode_records(lines):
     readable = F.when(F.is_valid_utf8(value), sealed)
     parsed = compute_once(lines, _doc=F.from_json(readable, _RECORD, _OPTIONS))
     r = F.get("_doc", 0)
-    topic, at, text, encoded = (r[f] for f in _FIELDS)
-    kind = F.schema_of_variant
-    plain = lambda v: F.try_variant_get(v, "$", "string")
-    # A JSON null counts as an absent payload field.
-    has = lambda v: v.isNotNull() & (kind(v) != "VOID")
     whole = r.isNotNull() & (F.size("_doc") == 2) & (F.get("_doc", 1)["seal"] == seal)
-    captured_at = classify.utc_timestamp(F.regexp_replace(plain(at), " ", "T"))
-    zoneless = plain(at).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
+    # Each field is read once; as text it would be read again wherever it is referred to.
+    leaves = compute_once(
+        parsed,
+        lines.columns,
+        _whole=F.coalesce(whole, F.lit(False)),
+        **{f"_kind_{f}": F.schema_of_variant(r[f]) for f in _FIELDS},
+        **{f"_{f}": F.try_variant_get(r[f], "$", "string") for f in _FIELDS},
+    )
+    timed = compute_once(leaves, _iso=F.translate("_captured_at", " ", "T"))
+    timed = classify.with_utc(timed, _at="_iso")
+    topic, at, text, encoded = (F.col(f"_{f}") for f in _FIELDS)
+    kind = lambda f: F.col(f"_kind_{f}")
+    is_text = lambda f: F.coalesce(kind(f) == "STRING", F.lit(False))
+    # A JSON null counts as an absent payload field.
+    has_text, has_encoded = (F.coalesce(kind(f) != "VOID", F.lit(False)) for f in _FIELDS[2:])
+    zoneless = at.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
     error = (
         F.when(
-            ~F.coalesce(whole, F.lit(False)),
+            ~F.col("_whole"),
             F.when(
                 ~F.ltrim(value).startswith("{") & F.try_parse_json(value).isNotNull(), NOT_OBJECT
             ).otherwise(BAD_JSON),
         )
-        .when(~F.coalesce((kind(topic) == "STRING") & (plain(topic) != ""), F.lit(False)), BAD_TOPIC)
-        .when(~F.coalesce(kind(at) == "STRING", F.lit(False)), NO_TIME)
-        .when(captured_at.isNull(), F.when(zoneless, NO_ZONE).otherwise(BAD_TIME))
-        .when(has(text) == has(encoded), ONE_PAYLOAD)
-        .when(has(text) & (kind(text) != "STRING"), NOT_TEXT)
-        .when(has(encoded) & (kind(encoded) != "STRING"), NOT_TEXT_B64)
-        .when(has(encoded) & ~plain(encoded).rlike(_BASE64), BAD_B64)
+        .when(~(is_text("topic") & (topic != "")), BAD_TOPIC)
+        .when(~is_text("captured_at"), NO_TIME)
+        .when(F.col("_at").isNull(), F.when(zoneless, NO_ZONE).otherwise(BAD_TIME))
+        .when(has_text == has_encoded, ONE_PAYLOAD)
+        .when(has_text & ~is_text("payload"), NOT_TEXT)
+        .when(has_encoded & ~is_text("payload_b64"), NOT_TEXT_B64)
+        .when(has_encoded & ~encoded.rlike(_BASE64), BAD_B64)
     )
-    payload = F.when(has(text), F.encode(plain(text), "UTF-8")).otherwise(
-        F.try_to_binary(plain(encoded), F.lit("base64"))
+    payload = F.when(has_text, F.encode(text, "UTF-8")).otherwise(
+        F.try_to_binary(encoded, F.lit("base64"))
     )
-    judged = compute_once(parsed, error=error)
+    judged = compute_once(timed, error=error)
     good = F.col("error").isNull()
     return judged.select(
         *lines.columns,
-        F.when(good, plain(topic)).alias("topic"),
-        F.when(good, captured_at).alias("captured_at"),
+        F.when(good, topic).alias("topic"),
+        F.when(good, F.col("_at")).alias("captured_at"),
         F.when(good, payload).alias("payload"),
         "error",
     )
@@ -97,7 +107,8 @@ def read_capture(spark, path, mode="failfast"):
     if mode not in ("failfast", "quarantine"):
         raise ValueError("mode must be 'failfast' or 'quarantine'")
     lines = numbered_lines(spark, path).filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
-    records = decode_records(lines)
+    # Numbering leaves a task per split of a file; decoding is the costly step.
+    records = decode_records(spread(lines))
     if mode == "quarantine":
         return records
     message = F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), "error")

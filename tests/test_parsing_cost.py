@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from levelcast import schemas
 from levelcast.operators import classify
 from levelcast.plans import ingest
+from levelcast.sources import captures
 
 COMPILED = 8000
 
@@ -33,6 +34,11 @@ def test_classification_is_compiled(spark, tmp_path):
     assert largest_method(spark, classify.classify(messages(spark, str(tmp_path / "in")))) <= COMPILED
 
 
+def test_decoding_is_compiled(spark, tmp_path):
+    lines = one_file(spark, str(tmp_path / "lines"), "value string", [("{}",)])
+    assert largest_method(spark, captures.decode_records(lines)) <= COMPILED
+
+
 def test_a_batch_of_one_file_is_parsed_on_all_cores(spark, tables, tmp_path, monkeypatch):
     seen = []
 
