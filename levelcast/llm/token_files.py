@@ -16,7 +16,6 @@ files in that table, written by Spark once all tasks are done, belong to the
 result. So a task that is tried again, or twice, adds nothing.
 """
 
-import itertools
 import json
 import os
 import re
@@ -56,6 +55,16 @@ def _least_width(values):
 _SMALL = _least_width(np.arange(1 << 16, dtype=np.uint64))
 
 
+def _all_of(good, count):
+    """Whether all of the `count` places from each place on are good."""
+    out, width = good, 1  # `out` is about runs of `width` places
+    while width < count:
+        step = min(width, count - width)
+        out = out[:-step] & out[step:]
+        width += step
+    return out
+
+
 def _pack(values, widest, least=None):
     """Words and escaped values of a uint64 array; values that `widest` bits cannot hold are escaped."""
     n = len(values)
@@ -66,32 +75,29 @@ def _pack(values, widest, least=None):
     selector = np.zeros(n, dtype=np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):
         count = min(int(COUNTS[s]), n)
-        small = least <= WIDTHS[s]
+        small = least <= np.int8(WIDTHS[s])
         if WIDTHS[s] > widest or (WIDTHS[s] < widest and np.count_nonzero(small) < max(count, n // 16)):
             continue  # too rare to be worth a look
-        good = np.concatenate([np.zeros(1, np.int32), np.cumsum(small, dtype=np.int32)])
-        whole = n - count + 1
-        selector[:whole][good[count:] - good[:whole] == count] = s
-        if WIDTHS[s]:
-            rest = good[n] - good[whole:n] == np.arange(n - whole, 0, -1)
-            selector[whole:][rest] = s
-    step, starts, at = (np.arange(n) + COUNTS[selector]).tolist(), [], 0
+        good = _all_of(np.concatenate([small, np.full(count - 1, bool(WIDTHS[s]))]), count)
+        np.copyto(selector, np.int8(s), where=good)
+    step, starts, at = (np.arange(n, dtype=np.int32) + COUNTS.astype(np.int32)[selector]).tolist(), [], 0
+    begin = starts.append
     while at < n:
-        starts.append(at)
+        begin(at)
         at = step[at]
     starts = np.array(starts, dtype=np.int64)
     chosen = selector[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate([values, np.zeros(240, np.uint64)])
-    codes = np.concatenate([escaped, np.zeros(240, bool)])
-    for s in np.unique(chosen):
+    # Only words of the last width hold escapes: their code is its largest one.
+    codes = np.concatenate([np.where(escaped, np.uint64((1 << int(widest)) - 1), values), np.zeros(240, np.uint64)])
+    for s in np.flatnonzero(np.bincount(chosen)):
         if not WIDTHS[s]:
             continue
         of = np.flatnonzero(chosen == s)
-        places = starts[of][:, None] + np.arange(COUNTS[s])
-        code = np.where(codes[places], np.uint64((1 << int(WIDTHS[s])) - 1), padded[places])
-        shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
-        words[of] |= np.bitwise_or.reduce(code << shifts, axis=1)
+        places, held = starts[of], words[of]
+        for k in range(COUNTS[s]):
+            held |= codes[places + k] << np.uint64(k * WIDTHS[s])
+        words[of] = held
     return words, values[escaped]
 
 
@@ -217,14 +223,65 @@ class _File:
 
 # Characters below U+0250, on whose kinds all Unicode tables agree; the separators of ASCII and U+0085, U+00A0 are out.
 PLAIN = "\t\n\r -~¡-ɏ"
-NOT_PLAIN = re.compile(f"[^{PLAIN}]")
+ODD, END, SPACE, LETTER, NUMBER, MARK = range(6)  # kinds of characters; END stands between texts
+SHORT, LONG = (b"s", b"t", b"m", b"d"), (b"re", b"ve", b"ll")  # what makes one piece with an apostrophe before it
+
+
+def _kinds():
+    """Kinds of all characters that take one or two of the bytes below 0xCA in UTF-8."""
+    plain = re.compile(f"[{PLAIN}]")
+    kind = lambda c: SPACE if c.isspace() else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], MARK)
+    return np.array([kind(chr(c)) if plain.match(chr(c)) else ODD for c in range(0x280)], dtype=np.uint8)
 
 
-def _split():
-    """How byte-level tokenizers split a text of plain characters into pieces: words, numbers, marks, white space."""
-    kind = lambda k: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c)).startswith(k))
-    letter, number = kind("L"), kind("N")
-    return re.compile(rf" ?[{letter}]+| ?[{number}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+")
+class Pieces:
+    """How byte-level tokenizers split texts into pieces: words, numbers, marks, white space.
+
+    A space belongs to what follows it; white space before that is a piece of its own.
+    All texts of a batch are split at once, as an array of bytes.
+    """
+
+    def __init__(self):
+        self.kinds = _kinds()
+        self.of_byte = np.full(256, ODD, dtype=np.uint8)
+        self.of_byte[:128] = self.kinds[:128]
+
+    def read(self, encoded):
+        """(bytes of all texts, an END after each; their kinds; places of the ENDs)."""
+        data = np.frombuffer(b"\0".join([*encoded, b""]), dtype=np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)) + 1) - 1
+        kinds = self.of_byte[data]
+        two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))
+        if len(two):
+            points = (data[two].astype(np.int64) & 0x1F) << 6 | data[two + 1] & 0x3F
+            kinds[two] = kinds[two + 1] = self.kinds[points]
+        kinds[ends] = END
+        return data, kinds, ends
+
+    def starts(self, data, kinds, ends):
+        """Places at which a piece begins; every END is a piece. No kind may be ODD."""
+        begins = np.ones(len(data), dtype=bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=begins[1:])
+        begins[ends] = True
+        space = kinds == SPACE
+        last = np.flatnonzero(space[:-1] & ~space[1:] & (kinds[1:] != END))
+        begins[last] = True
+        begins[last + 1] = data[last] != ord(" ")
+        quote = np.flatnonzero(data == ord("'"))
+        quote = quote[begins[quote] & (kinds[quote + 1] == LETTER)]
+        first, second = data[quote + 1], data[quote + 2]  # an END follows at least
+        for suffix in SHORT + LONG:
+            found = quote[(first == suffix[0]) & (second == suffix[1] if len(suffix) > 1 else True)]
+            begins[found + 1] = False
+            begins[found + 1 + len(suffix)] = True
+        return np.flatnonzero(begins)
+
+    def split(self, data, kinds, ends):
+        """(the piece numbers of all texts in order, the distinct pieces, how many pieces there are to each END)."""
+        starts = self.starts(data, kinds, ends)
+        bounds = pa.py_buffer(np.append(starts, len(data)))
+        found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, bounds, pa.py_buffer(data)]).dictionary_encode()
+        return found.indices.to_numpy(), found.dictionary.to_pylist(), np.searchsorted(starts, ends)
 
 
 PIECES = 1_000_000  # pieces whose ids a worker remembers
@@ -250,22 +307,36 @@ class Encoder:
             and not plan.get("normalizer") and not plan.get("post_processor") and not plan.get("truncation") and not plan.get("padding")
         )
         self.own = [t["content"] for t in plan.get("added_tokens", [])]
-        self.split = _split().findall
-        self.known = {}
+        self.pieces = Pieces()
+        self.known = {b"\0": b""}  # END has no ids
 
     def __call__(self, texts):
         """One array of ids per text."""
         ask = lambda given: [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
         if not self.by_piece:
             return [np.frombuffer(x, np.uint32) for x in ask(texts)]
-        pieces = [None if NOT_PLAIN.search(t) or any(o in t for o in self.own) else self.split(t) for t in texts]
+        encoded = [t.encode() for t in texts]
+        data, kinds, ends = self.pieces.read(encoded)
+        odd = {k for k, t in enumerate(texts) if any(o in t for o in self.own)}
+        odd |= set(np.searchsorted(ends, np.flatnonzero(kinds == ODD)).tolist())
+        if odd:
+            data, kinds, ends = self.pieces.read([t for k, t in enumerate(encoded) if k not in odd])
+        plain = self._by_piece(data, kinds, ends, ask) if len(ends) else iter(())
+        whole = iter([np.frombuffer(x, np.uint32) for x in ask([texts[k] for k in sorted(odd)])])
+        return [next(whole if k in odd else plain) for k in range(len(texts))]
+
+    def _by_piece(self, data, kinds, ends, ask):
+        numbers, distinct, stops = self.pieces.split(data, kinds, ends)
         if len(self.known) > PIECES:
-            self.known.clear()
-        new = list(set(itertools.chain.from_iterable(filter(None, pieces))).difference(self.known))
-        self.known.update(zip(new, ask(new)))
-        whole = iter(ask([t for t, p in zip(texts, pieces) if p is None]))
-        get = self.known.__getitem__
-        return [np.frombuffer(next(whole) if p is None else b"".join(map(get, p)), np.uint32) for p in pieces]
+            self.known = {b"\0": b""}
+        new = [p for p in distinct if p not in self.known]
+        self.known.update(zip(new, ask([p.decode() for p in new])))
+        held = [self.known[p] for p in distinct]
+        flat, sizes = np.frombuffer(b"".join(held), np.uint32), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        counts = sizes[numbers]
+        before = np.cumsum(counts) - counts
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[numbers] - before, counts) + np.arange(int(counts.sum()))]
+        return iter(np.split(ids, before[stops])[:-1])
 
 
 def _encoder(spec):
