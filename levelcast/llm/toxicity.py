@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from levelcast.llm.samples import class_weights, fit_logistic, labelled_sample, logistic
@@ -20,7 +22,8 @@ BOOST = 20.0  # most that label strength can multiply the weight of a term by
 NEIGHBOURS = 15
 BLOCK = 16  # texts of a block
 LONG = 8  # lists of more than 1 / LONG of the texts are kept in blocks
-MEMORY = 200_000  # words whose terms are remembered
+MEMORY = 2_000_000  # characters of texts that are taken apart at once
+HYPHEN = pa.scalar("", pa.large_string()), pa.scalar("-", pa.large_string())  # nothing, joined by a hyphen
 PER_CLASS = 2500
 MAX_BYTES = 24_000_000
 
@@ -63,37 +66,99 @@ def strengths(bags, ys, weights):
 
 
 class TermReader:
-    """Numbers and counts of a text's terms; the terms of a word are looked up once per word.
+    """Numbers and counts of texts' terms, found and counted in arrays for many texts at once.
 
-    Terms outside the vocabulary have numbers from its size on, good for one text
-    only: the words seen are forgotten between two texts when they are too many.
+    `vocabulary` holds the terms in the order of their numbers. Terms outside it have
+    numbers from its size on, good for texts taken apart together: as many as have
+    `memory` characters.
     """
 
     def __init__(self, vocabulary, memory=MEMORY):
-        self.vocabulary, self.memory, self.words, self.others = vocabulary, memory, {}, {}
-
-    def terms_of(self, word):
-        found = []
-        for term in [word] + [word[:k] + "-" for k in STEMS if len(word) > k]:
-            number = self.vocabulary.get(term)
-            if number is None:
-                number = self.others.setdefault(term, len(self.vocabulary) + len(self.others))
-            found.append(number)
-        return tuple(found)
+        self.vocabulary, self.memory = pa.array(list(vocabulary), pa.large_string()), memory
+        self.common = np.array([bool(TOKEN.match(chr(c))) for c in range(0x250)])
+
+    def in_words(self, points):
+        """Which code points TOKEN takes."""
+        inside = self.common[np.minimum(points, len(self.common) - 1)]
+        far = np.flatnonzero(points >= len(self.common))
+        if len(far):
+            distinct, places = np.unique(points[far], return_inverse=True)
+            inside[far] = np.array([bool(TOKEN.match(chr(c))) for c in distinct.tolist()])[places]
+        return inside
+
+    def words_of(self, texts):
+        """By distinct (text, word): the text's number, the word's number, how often; also the distinct words."""
+        lowered = [t.lower() for t in texts]
+        joined = "\0".join([*lowered, ""])
+        points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.frombuffer(joined.encode(), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1) - 1
+        inside = self.in_words(points)
+        edges = np.flatnonzero(np.diff(inside, prepend=False))
+        starts, sizes = edges[::2], np.diff(edges)[::2]
+        if len(data) > len(points):
+            widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+            sizes, inside = np.add.reduceat(widths, edges, dtype=np.int64)[::2], np.repeat(inside, widths)
+        bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+        letters = pa.py_buffer(data[inside])
+        found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, bounds, letters]).dictionary_encode()
+        words = found.dictionary
+        keys = np.searchsorted(ends, starts) * max(len(words), 1) + found.indices.to_numpy()
+        keys.sort()
+        firsts = np.flatnonzero(np.diff(keys, prepend=-1))
+        return *np.divmod(keys[firsts], max(len(words), 1)), np.diff(np.append(firsts, len(keys))), words
+
+    def terms_of(self, words):
+        """By word and term: the word's number, the term's number; also the bound of the latter."""
+        sizes, terms, owners = pc.utf8_length(words).to_numpy(), [words], [np.arange(len(words))]
+        for k in STEMS:
+            owners.append(np.flatnonzero(sizes > k))
+            stems = pc.utf8_slice_codeunits(words.take(pa.array(owners[-1])), 0, k)
+            terms.append(pc.binary_join_element_wise(stems, *HYPHEN))
+        found = pa.concat_arrays(terms).dictionary_encode()
+        # The vocabulary is looked up in the terms: they are fewer, and only they are hashed again for every batch.
+        places = pc.index_in(self.vocabulary, value_set=found.dictionary).fill_null(-1).to_numpy()
+        known = np.flatnonzero(places >= 0)
+        numbers = np.full(len(found.dictionary), -1, dtype=np.int64)
+        numbers[places[known]] = known
+        others = np.flatnonzero(numbers < 0)
+        numbers[others] = len(self.vocabulary) + np.arange(len(others))
+        return np.concatenate(owners), numbers[found.indices.to_numpy()], len(self.vocabulary) + len(others)
+
+    def read_some(self, texts):
+        """(numbers, counts) of the terms of every text, in ascending order of the numbers."""
+        of_text, of_word, times, words = self.words_of(texts)
+        owners, numbers, span = self.terms_of(words)
+        order = np.argsort(owners, kind="stable")
+        numbers, sizes = numbers[order], np.bincount(owners, minlength=len(words))
+        spread = sizes[of_word]
+        before = np.cumsum(spread) - spread
+        at = np.arange(int(spread.sum())) + np.repeat((np.cumsum(sizes) - sizes)[of_word] - before, spread)
+        # Sorted as one number each: text, term, count.
+        bits = int(times.max(initial=1)).bit_length()
+        keys = np.repeat(of_text, spread) * span + numbers[at]
+        keys = keys << bits | np.repeat(times, spread)
+        keys.sort()
+        terms_at = keys >> bits
+        firsts = np.flatnonzero(np.diff(terms_at, prepend=-1))
+        counts = np.add.reduceat(keys & (1 << bits) - 1, firsts) if len(firsts) else firsts
+        terms_at = terms_at[firsts]
+        cuts = np.searchsorted(terms_at, np.arange(1, len(texts)) * span)
+        return zip(np.split(terms_at % max(span, 1), cuts), np.split(counts.astype(float), cuts))
+
+    def read_all(self, texts):
+        """(numbers, counts) of the terms of every text, one after the other."""
+        some, size = [], 0
+        for text in texts:
+            if some and size + len(text) > self.memory:
+                yield from self.read_some(some)
+                some, size = [], 0
+            some.append(text)
+            size += len(text)
+        if some:
+            yield from self.read_some(some)
 
     def read(self, text):
-        if len(self.words) > self.memory:
-            self.words, self.others = {}, {}
-        counts, numbers, sizes = Counter(TOKEN.findall(text.lower())), [], []
-        for word in counts:
-            found = self.words.get(word)
-            if found is None:
-                found = self.words[word] = self.terms_of(word)
-            numbers += found
-            sizes.append(len(found))
-        numbers, places = np.unique(np.array(numbers, dtype=np.int64), return_inverse=True)
-        times = np.repeat(np.array(list(counts.values()), dtype=float), sizes)
-        return numbers, np.bincount(places, times, len(numbers))
+        return next(self.read_all([text]))
 
 
 def similar_order(at, held, weights, n, size, directions=24):
@@ -162,9 +227,19 @@ class BlockMaxIndex:
         self.norms = np.sqrt((dense * dense).sum(1)).reshape(blocks, block)
         short = np.nonzero(~wide)[0]
         short = short[np.argsort(at[short], kind="stable")]
-        self.places, self.weights = spot[short], w[short]
+        self.places, self.weights = spot[short].astype(np.min_scalar_type(max(n, 1))), w[short]
         self.starts = np.concatenate([[0], np.cumsum(np.where(is_long, 0, df))]).astype(np.int64)
         self.opened = 0  # texts whose long lists were read so far
+        self.held = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"held": {}}
+
+    def room(self, name, n, dtype):
+        """An array that queries use one after the other: fresh memory for each would cost more than the sums."""
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(2 * n, dtype)
+        return self.held[name][:n]
 
     def vector(self, bag):
         """Numbers and weights of the known terms; over all terms the weights have unit length."""
@@ -180,21 +255,47 @@ class BlockMaxIndex:
         w = (1.0 + np.log(counts)) * idf
         return numbers[known], w[known] / math.sqrt(float(w @ w))
 
+    def short_sums(self, at, w):
+        """Sums of the short lists of the terms, by block and place."""
+        first, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        if not sizes.all():
+            first, w, sizes = first[sizes > 0], w[sizes > 0], sizes[sizes > 0]
+        if not len(sizes):
+            return np.zeros(self.norms.size)
+        # Entry numbers as steps of 1 and, where a list ends, the step to the next one.
+        ends = np.cumsum(sizes)
+        total = int(ends[-1])
+        entries = self.room("entries", total, np.int64)
+        entries.fill(1)
+        entries[0] = first[0]
+        entries[ends[:-1]] = first[1:] - (first + sizes - 1)[:-1]
+        np.cumsum(entries, out=entries)
+        places = self.places.take(entries, out=self.room("places", total, self.places.dtype), mode="clip")
+        weights = self.weights.take(entries, out=self.room("weights", total, float), mode="clip")
+        weights *= np.repeat(w, sizes)
+        return np.bincount(places, weights, self.norms.size)
+
     def bounds(self, at, w):
         """By block and place: sums over the short lists, and bounds of the cosines. Also the weights of the long lists."""
         rows = self.row[at]
         wide = rows >= 0
-        short, w_short = at[~wide], w[~wide]
-        sizes = self.starts[short + 1] - self.starts[short]
-        before = np.cumsum(sizes) - sizes
-        entries = np.arange(int(sizes.sum())) + np.repeat(self.starts[short] - before, sizes)
-        sums = np.bincount(self.places[entries], self.weights[entries] * np.repeat(w_short, sizes), self.norms.size)
+        sums = self.short_sums(at[~wide], w[~wide])
         sums = sums.reshape(self.norms.shape)
         query = np.zeros(self.dense.shape[1])
         query[rows[wide]] = w[wide]
         most = np.einsum("i,ij->j", w[wide], self.maxima[rows[wide]])  # no BLAS: its threads cost more than the sums
         return sums, query, sums + np.minimum(most[:, None], self.norms * math.sqrt(float(query @ query)))
 
+    def coarse_sums(self, slots, query, step=128):
+        """Sums of the long lists of texts in single precision."""
+        sums, width = np.empty(len(slots), np.float32), self.coarse.shape[1]
+        for k in range(0, len(slots), step):
+            some = slots[k : k + step]
+            rows = self.room("rows", len(some) * width, np.float32).reshape(len(some), width)
+            self.coarse.take(some, axis=0, out=rows, mode="clip")
+            np.einsum("ij,j->i", rows, query, out=sums[k : k + step])
+        return sums
+
     def nearest(self, bag, k=NEIGHBOURS, leave_out=None):
         """(cosine, position) of the k nearest with a cosine above zero, best first; ties by position."""
         return self.search(*self.vector(bag), k, leave_out)
@@ -219,8 +320,7 @@ class BlockMaxIndex:
         least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
         rest = np.nonzero((bound >= least - 1e-9) & (bound > 0) & ~first)[0]
         # Single precision errs by less than 1e-5 here.
-        self.opened += len(rest)
-        rest = rest[sums[rest] + np.einsum("ij,j->i", self.coarse[rest], query.astype(np.float32)) >= least - 1e-5]
+        rest = rest[sums[rest] + self.coarse_sums(rest, query.astype(np.float32)) >= least - 1e-5]
         if len(rest):
             more, places = cosines_of(rest)
             cosines, hits = np.concatenate([cosines, more]), np.concatenate([hits, places])
@@ -293,7 +393,7 @@ def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES)
         index, model, none = shared.value
         reader = TermReader(index.vocabulary)
         for batch in texts:
-            near = [index.search(*index.weigh(*reader.read(t or ""))) for t in batch]
+            near = [index.search(*index.weigh(*read)) for read in reader.read_all(t or "" for t in batch)]
             scores = np.full(len(near), none)
             pick = [i for i, found in enumerate(near) if found] if model else []
             if pick:

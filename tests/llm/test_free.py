@@ -5,6 +5,8 @@ import math
 import random
 import re
 import sys
+import time
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -230,6 +232,51 @@ def test_block_bounds_hold_and_close_texts():
     assert index.opened < 80 * 400 / 2
 
 
+def test_terms_of_many_texts_are_the_terms():
+    rng, signs = random.Random(4), list("abcdefgh") + ["some", "Thing", "_", " ", ".", "é", "Ä", "İ", "Σ", "ΑΣ", "日本", "½", "٣", "\0", "😀", "ǅ"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(600)] + ["", "..."]
+    bags = [toxicity.terms(t) for t in texts]
+    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*bags[:200])))}
+    for memory in (1, 500, 10**6):
+        found = list(toxicity.TermReader(vocabulary, memory).read_all(texts))
+        assert len(found) == len(texts)
+        for bag, (numbers, counts) in zip(bags, found):
+            known = numbers < len(vocabulary)
+            assert dict(zip(numbers[known], counts[known])) == {vocabulary[t]: n for t, n in bag.items() if t in vocabulary}
+            assert sorted(counts[~known]) == sorted(n for t, n in bag.items() if t not in vocabulary)
+    assert list(toxicity.TermReader({}).read_all([])) == [] and len(toxicity.TermReader({}).read("a")[0]) == 1
+
+
+def test_terms_in_arrays_cost_less_than_word_by_word():
+    texts = [prose(i, 500, 10**5) for i in range(300)]
+    reader = toxicity.TermReader({t: i for i, t in enumerate(sorted(set().union(*map(toxicity.terms, texts[:60]))))})
+
+    def seconds(work):
+        begin = time.process_time()
+        work()
+        return time.process_time() - begin
+
+    together = min(seconds(lambda: list(reader.read_all(texts))) for _ in range(3))
+    assert together < 0.8 * min(seconds(lambda: [toxicity.terms(t) for t in texts]) for _ in range(3))
+
+
+def test_search_uses_its_memory_again():
+    """The second search makes no array of the size of the lists it adds up."""
+    bags = [Counter(f"t{i * k % 997}" for k in range(1, 121)) for i in range(1, 2001)]
+    index = toxicity.BlockMaxIndex(sorted(set().union(*bags)), bags, list(range(2000)), [0] * 2000)
+    query = Counter(f"t{i}" for i in range(1, 997))
+    first = index.nearest(query)
+    entries = int(np.diff(index.starts).sum())
+    tracemalloc.start()
+    try:
+        assert index.nearest(query) == first
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert entries > 100_000 and peak < 20 * entries
+    assert toxicity.BlockMaxIndex.__getstate__(index)["held"] == {}
+
+
 def test_neighbours_by_all_terms(spark):
     """A text without any word that goes with the label still finds its near copy, by the plain cosine."""
     rude = [(100 + i, prose(i, 60) + (" you fool" if i % 2 else " dear friend")) for i in range(60)]
