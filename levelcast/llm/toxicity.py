@@ -6,7 +6,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -75,29 +74,27 @@ class TermReader:
 
     def __init__(self, vocabulary, memory=MEMORY):
         self.vocabulary, self.memory = pa.array(list(vocabulary), pa.large_string()), memory
-        self.common = np.array([bool(TOKEN.match(chr(c))) for c in range(0x250)])
-
-    def in_words(self, points):
-        """Which code points TOKEN takes."""
-        inside = self.common[np.minimum(points, len(self.common) - 1)]
-        far = np.flatnonzero(points >= len(self.common))
-        if len(far):
-            distinct, places = np.unique(points[far], return_inverse=True)
-            inside[far] = np.array([bool(TOKEN.match(chr(c))) for c in distinct.tolist()])[places]
+        self.common = bytes(c < 0x80 and bool(TOKEN.match(chr(c))) for c in range(256))
+
+    def in_words(self, data):
+        """Which bytes of a text in UTF-8 are of characters that TOKEN takes."""
+        inside = np.frombuffer(data.tobytes().translate(self.common), dtype=bool).copy()
+        far = data >= 0x80
+        if far.any():
+            points = np.frombuffer(data[far].tobytes().decode().encode("utf-32-le"), np.uint32)
+            distinct, places = np.unique(points, return_inverse=True)
+            taken = np.array([bool(TOKEN.match(chr(c))) for c in distinct.tolist()])[places]
+            inside[far] = np.repeat(taken, 2 + (points >= 0x800).astype(np.int8) + (points >= 0x10000))
         return inside
 
     def words_of(self, texts):
         """By distinct (text, word): the text's number, the word's number, how often; also the distinct words."""
-        lowered = [t.lower() for t in texts]
-        joined = "\0".join([*lowered, ""])
-        points, data = np.frombuffer(joined.encode("utf-32-le"), np.uint32), np.frombuffer(joined.encode(), np.uint8)
+        lowered = [t.lower().encode() for t in texts]
+        data = np.frombuffer(b"\0".join([*lowered, b""]), np.uint8)
         ends = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1) - 1
-        inside = self.in_words(points)
+        inside = self.in_words(data)
         edges = np.flatnonzero(np.diff(inside, prepend=False))
         starts, sizes = edges[::2], np.diff(edges)[::2]
-        if len(data) > len(points):
-            widths = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
-            sizes, inside = np.add.reduceat(widths, edges, dtype=np.int64)[::2], np.repeat(inside, widths)
         bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
         letters = pa.py_buffer(data[inside])
         found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, bounds, letters]).dictionary_encode()
@@ -319,6 +316,7 @@ class BlockMaxIndex:
         cosines, hits = cosines_of(np.nonzero(first)[0])
         least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
         rest = np.nonzero((bound >= least - 1e-9) & (bound > 0) & ~first)[0]
+        self.opened += len(rest)
         # Single precision errs by less than 1e-5 here.
         rest = rest[sums[rest] + self.coarse_sums(rest, query.astype(np.float32)) >= least - 1e-5]
         if len(rest):
@@ -327,6 +325,15 @@ class BlockMaxIndex:
         best = np.lexsort((hits, -np.round(cosines, 12)))[:k]  # sums of equal texts may differ in the last bits
         return list(zip(cosines[best].tolist(), hits[best].tolist()))
 
+    def shown(self, near):
+        """The neighbours of many texts as an Arrow array."""
+        flat = [x for found in near for x in found]
+        places = np.array([p for _, p in flat], dtype=np.int64)
+        ids, ys = pa.array(self.ids[places], pa.int64()), pa.array(self.ys[places].astype(np.int32))
+        each = pa.StructArray.from_arrays([ids, pa.array([s for s, _ in flat], pa.float64()), ys], ["doc_id", "cosine", "toxic"])
+        stops = np.concatenate([[0], np.cumsum([len(found) for found in near])]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(stops), each)
+
     def vote(self, near):
         """Features of a vote: weighted share of toxic neighbours, its certainty, the best cosine."""
         if not near:
@@ -388,21 +395,17 @@ def score_toxicity(docs, labels, seen, per_class=PER_CLASS, max_bytes=MAX_BYTES)
         return docs.select("doc_id", F.lit(float(prior)).alias("score"), nobody.alias("neighbours"))
     shared = docs.sparkSession.sparkContext.broadcast(fitted)  # bounded by the sample
 
-    @F.pandas_udf(EVIDENCE)
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(EVIDENCE)
+    def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index, model, none = shared.value
         reader = TermReader(index.vocabulary)
         for batch in texts:
-            near = [index.search(*index.weigh(*read)) for read in reader.read_all(t or "" for t in batch)]
+            near = [index.search(*index.weigh(*read)) for read in reader.read_all(batch.to_pylist())]
             scores = np.full(len(near), none)
             pick = [i for i, found in enumerate(near) if found] if model else []
             if pick:
                 scores[pick] = logistic(model, np.clip([index.vote(near[i]) for i in pick], *index.limits))
-            shown = [
-                [{"doc_id": int(index.ids[p]), "cosine": s, "toxic": int(index.ys[p])} for s, p in found]
-                for found in near
-            ]
-            yield pd.DataFrame({"score": scores, "neighbours": shown})
+            yield pa.StructArray.from_arrays([pa.array(scores), index.shown(near)], ["score", "neighbours"])
 
     judged = docs.select("doc_id", judge(F.coalesce("text", F.lit(""))).alias("j"))
     return judged.select("doc_id", "j.score", "j.neighbours")
